@@ -17,7 +17,7 @@ import json
 import ahocorasick
 
 #: Entries kept in a memo before it is emptied; bounds the memory of a worker.
-MEMO = 400_000
+MEMO = 800_000
 
 
 class PairBpe:
@@ -28,7 +28,7 @@ class PairBpe:
         ids = {t: i for i, t in enumerate(tokens) if t}
         self.automaton = ahocorasick.Automaton()
         for t, i in ids.items():
-            self.automaton.add_word(t, (len(t), i))
+            self.automaton.add_word(t, i)
         self.automaton.make_automaton()
         #: The longest token that is a proper prefix of a token, or -1.
         self.shorter = [-1] * len(tokens)
@@ -94,10 +94,19 @@ class PairBpe:
         return known
 
     def encode(self, piece: str) -> list[int]:
-        n = len(piece)
+        n, fits = len(piece), self.fits
+        greedy = [i for _, i in self.automaton.iter_long(piece)]
+        before = -1
+        for i in greedy:  # mostly the longest matches stand as they are
+            if before >= 0 and not (fits.get((before, i)) or self.compatible(before, i)):
+                break
+            before = i
+        else:
+            if sum(map(self.length.__getitem__, greedy)) == n:
+                return greedy
         longest = [-1] * (n + 1)
-        for end, (size, i) in self.automaton.iter(piece):
-            longest[end - size + 1] = i
+        for end, i in self.automaton.iter(piece):
+            longest[end - self.length[i] + 1] = i
         open_at = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]

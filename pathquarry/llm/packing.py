@@ -51,7 +51,7 @@ class WordEncoder:
         self.library.encode_special_tokens = True
         self.bpe = PairBpe(*word_end_vocabulary(path))
         self.split = regex.compile(WORD_PATTERN)
-        self.word = Memo(lambda w: self._pack(self.bpe.encode(as_word(w.encode()))), 300_000)
+        self.word = Memo(lambda w: self._pack(self.bpe.encode(as_word(w.encode()))))
         self.part = Memo(self._part)
 
     @staticmethod
