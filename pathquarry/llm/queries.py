@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, html_text, jaccard_join, nearest, packing, quality_rules, secret_scan, token_counts, toxicity
+from . import bpe_codec, html_text, jaccard_join, nearest, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
 from ._common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
