@@ -60,10 +60,11 @@ def _found(text: Column, rule: Rule) -> Column:
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, kind, start, end of the rows of (blob, text, due: the kinds to scan for)."""
     hits = None
+    blobs = blobs.withColumn("row", F.monotonically_increasing_id())  # a blob may come in several equal rows
     for rule in rules:
         due = blobs.where(F.array_contains("due", rule.name) & F.col("text").rlike(rule.pattern))
-        rows = due.select("blob", F.posexplode(_found(F.col("text"), rule)).alias("nth", "m")).select("blob", "nth", "m.*")
-        so_far = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+        rows = due.select("blob", "row", F.posexplode(_found(F.col("text"), rule)).alias("nth", "m")).select("blob", "row", "nth", "m.*")
+        so_far = Window.partitionBy("blob", "row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
         ends = F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(so_far)
         kept = rows.withColumn("end", ends).where(F.col("part") >= rule.least)
         kept = kept.select("blob", "kind", (F.col("end") - F.col("hit")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
