@@ -39,6 +39,8 @@ LENGTH, GRAM = 100, 16
 REACH = LENGTH - GRAM + 1
 #: Texts under one name at most, bytes indexed together at least (if there are that many), bytes hashed together.
 HOT, INDEX, CHUNK = 4096, 600_000, 1_500_000
+#: Bytes whose segments a task compares before it sends them on.
+SENT = 24_000_000
 PLACE = np.uint64((1 << 21) - 1)
 LAST = (1 << 63) - 1
 
@@ -203,6 +205,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- stages ---------------------------------------------------------------------------------------------------------
 
+REPEAT, INDEXED, SPLIT = 0, 1, 2
 _PLACES = "kind int, name long, text long, d long, t long, start long, length int"
 _SLICES = _PLACES + ", bytes binary"
 
@@ -223,51 +226,72 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     """Segments by bucket of their name, packed."""
     keyed = docs.where("length(text) > 0").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text").withColumn("t", F.xxhash64("text"))
 
-    def blobs(held):
+    def read(held):
         ds, ts, offsets, parts = zip(*held, strict=True)
         part, start, length, name, text = segments(list(parts))
-        start += np.array(offsets, dtype=np.int64)[part]
+        return name, text, np.array(ds, dtype=np.int64)[part], np.array(ts, dtype=np.int64)[part], start + np.array(offsets, dtype=np.int64)[part], length.astype(np.uint16)
+
+    def blobs(found):
+        name, text, d, t, start, length = (np.concatenate(x) for x in zip(*found, strict=True))
+        # Of equal segments read here the first place is enough to meet others; later places are known to repeat it.
+        order = np.lexsort((start, t, d, text, name))
+        name, text, d, t, start, length = (x[order] for x in (name, text, d, t, start, length))
+        head = np.concatenate([[True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])])
+        head[1:] |= (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (start[1:] == start[:-1])  # of a repeated row
         at = mix(name) % np.uint64(buckets)
-        order = np.argsort(at, kind="stable")
-        edge = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
-        ds, ts = np.array(ds, dtype=np.int64), np.array(ts, dtype=np.int64)
-        where, out = [], []
-        for k in range(buckets):
-            if edge[k] < edge[k + 1]:
-                o = order[edge[k] : edge[k + 1]]
-                used, local = np.unique(part[o], return_inverse=True)
-                where.append(k)
-                out.append(pack(name[o], text[o], local.astype(np.uint32), start[o], length[o].astype(np.uint16), ds[used], ts[used]))
-        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(out, pa.binary())], ["bucket", "payload"])
+        where, out, kinds = [], [], []
+        for flag, known in ((INDEXED, head), (REPEAT, ~head)):
+            pick = np.flatnonzero(known)
+            order = pick[np.argsort(at[pick], kind="stable")]
+            edge = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
+            for k in range(buckets):
+                if edge[k] < edge[k + 1]:
+                    o = order[edge[k] : edge[k + 1]]
+                    where.append(k)
+                    kinds.append(flag)
+                    out.append(pack(name[o], text[o], d[o], t[o], start[o], length[o]))
+        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], ["bucket", "kind", "payload"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, found, read_so_far = [], 0, [], 0
         for b in batches:
             for d, t, text in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = text.encode()
                 for at in range(0, max(1, len(data) - LENGTH + 1), CHUNK):  # a long text is read in slices that share LENGTH - 1 bytes
                     part = data[at : at + CHUNK + LENGTH - 1]
                     if held and size + len(part) > CHUNK:
-                        yield blobs(held)
+                        found.append(read(held))
+                        read_so_far += size
                         held, size = [], 0
+                    if read_so_far >= SENT:
+                        yield blobs(found)
+                        found, read_so_far = [], 0
                     held.append((d, t, at, part))
                     size += len(part)
         if held:
-            yield blobs(held)
+            found.append(read(held))
+        if found:
+            yield blobs(found)
 
-    return keyed.select("d", "t", "text").mapInArrow(run, "bucket int, payload binary")
+    return keyed.select("d", "t", "text").mapInArrow(run, "bucket int, kind int, payload binary")
 
 
-REPEAT, INDEXED, SPLIT = 0, 1, 2
+def _rows(kind, name, text, d, t, start, length):
+    columns = [pa.array(kind.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(text.view(np.int64)), pa.array(d), pa.array(t), pa.array(start), pa.array(length.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "name", "text", "d", "t", "start", "length"])
 
 
 def _places(batches):
     """kind REPEAT: a later place of a class, which goes whole; INDEXED, SPLIT: the first places of the classes under a name."""
     held: list[list[np.ndarray]] = [[] for _ in range(6)]
+    types = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint16)
     for b in batches:
-        for blob in b.column("payload").to_pylist():
-            name, text, local, start, length, ds, ts = unpack(blob, np.uint64, np.uint64, np.uint32, np.int64, np.uint16, np.int64, np.int64)
-            for h, x in zip(held, (name, text, ds[local], ts[local], start, length), strict=True):
+        for kind, blob in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            columns = unpack(blob, *types)
+            if kind == REPEAT:
+                yield _rows(np.full(len(columns[0]), REPEAT), *columns)
+                continue
+            for h, x in zip(held, columns, strict=True):
                 h.append(x)
     if not held[0]:
         return
@@ -290,10 +314,7 @@ def _places(batches):
     keep = np.flatnonzero(kind >= 0)
     for lo in range(0, len(keep), 50_000):
         p = keep[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind[p], pa.int32()), pa.array(name[p].view(np.int64)), pa.array(text[p].view(np.int64)), pa.array(d[p]), pa.array(t[p]), pa.array(start[p]), pa.array(length[p].astype(np.int32))],
-            ["kind", "name", "text", "d", "t", "start", "length"],
-        )
+        yield _rows(kind[p], name[p], text[p], d[p], t[p], start[p], length[p])
 
 
 def _sliced(places: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
