@@ -62,7 +62,8 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     hits = None
     blobs = blobs.withColumn("row", F.monotonically_increasing_id())  # a blob may come in several equal rows
     for rule in rules:
-        due = blobs.where(F.array_contains("due", rule.name) & F.col("text").rlike(rule.pattern))
+        # One condition over both sides of the join that gave the rows, so that no plan tests texts which are not due.
+        due = blobs.where(F.when(F.array_contains("due", rule.name), F.col("text").rlike(rule.pattern)).otherwise(F.lit(False)))
         rows = due.select("blob", "row", F.posexplode(_found(F.col("text"), rule)).alias("nth", "m")).select("blob", "row", "nth", "m.*")
         so_far = Window.partitionBy("blob", "row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
         ends = F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(so_far)
