@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, html_text, jaccard_join, nearest, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, html_text, jaccard_join, nearest, oracles, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
 from ._common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secret_scan.ORACLE}
+    return oracles.oracle_sql()
