@@ -5,8 +5,9 @@ group.  The overlap of two documents is at most the sum of the smaller counts,
 so a tree of bounding corners over the points discards pairs and whole nodes;
 pairs that survive are verified on the full sets.
 
-A tree over all documents would compare most nodes with each other, as no count
-vector of a few dozen groups separates long documents.  Hence documents meet in
+The number of groups grows with the set, in powers of four that nest.  A tree
+over all documents would still compare most nodes with each other: documents of
+one size lie about as far apart as links may reach in any few groups.  Hence documents meet in
 trees of bounded size: once among those that share a shingle of their prefix
 (the fifth of a set that comes first in hash order; two sets of similarity 0.8
 must share one), where bounds alone decide which documents may belong together,
@@ -31,7 +32,8 @@ from ._blobs import mix, pack, spans, unpack
 from ._common import Scratch, shuffle_partitions, small_batches
 from .graph import components
 
-WORDS, GROUPS = 5, 64
+#: Least number of groups, and members of a set for each group at most.
+WORDS, GROUPS, PER_GROUP = 5, 64, 10
 #: Points in a tree at most, and shingles of the documents verified in one group at most.
 POINTS, SHINGLES = 2048, 4_000_000
 #: Characters hashed at a time.
@@ -98,8 +100,22 @@ def set_hash(s: np.ndarray) -> np.int64:
     return np.array([mix(s ^ SIGN).sum() + np.uint64(len(s))], dtype=np.uint64).view(np.int64)[0]
 
 
+def resolution(n: int) -> int:
+    """Groups for a set of n: unrelated sets differ in more than similar ones may only if groups hold few of them."""
+    groups = GROUPS
+    while groups * PER_GROUP < n:
+        groups *= 4
+    return groups
+
+
 def counts(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS), 1 << 30).astype(np.int32)
+    """Counts by leading bits of the hash, so that neighbours add up to the counts of a coarser resolution."""
+    groups = resolution(len(s))
+    while True:
+        found = np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+        if found.max(initial=0) < 256:
+            return found.astype(np.uint8)
+        groups *= 4
 
 
 def prefix(n: int) -> int:
@@ -141,15 +157,23 @@ class CountTree:
         return at[np.minimum(self.points[at], own).sum(axis=1) >= enough(size, self.sizes[at])]
 
 
-def join(sizes: np.ndarray, points: np.ndarray, verified) -> np.ndarray:
-    """Labels of the components of verified(i, j) over points in order of size; pairs within a component are skipped."""
-    tree, label = CountTree(sizes, points), np.arange(len(sizes))
-    for i in range(len(sizes) - 1):
-        if (label[i + 1 :] == label[i]).all():
-            continue
-        for j in tree.near(i):
-            if label[j] != label[i] and verified(i, j):
-                label[label == label[j]] = label[i]
+def join(sizes: np.ndarray, points: list[np.ndarray], verified) -> np.ndarray:
+    """Labels of the components of verified(i, j) over points in order of size; pairs within a component are skipped.
+
+    Each resolution has a tree of its points and of finer ones near in size, which are summed up to it.
+    """
+    label, groups = np.arange(len(sizes)), np.array([len(x) for x in points])
+    for g in np.unique(groups):
+        own = groups == g
+        near = (groups > g) & (sizes <= sizes[own].max() * 5 // 4) & (sizes >= sizes[own].min() * 4 // 5)
+        at = np.flatnonzero(own | near)
+        tree = CountTree(sizes[at], np.stack([points[i].reshape(g, -1).sum(axis=1, dtype=np.int32) for i in at]))
+        for k, i in enumerate(at[:-1]):
+            if (label[at[k + 1 :]] == label[i]).all():
+                continue
+            for j in at[tree.near(k)]:
+                if label[j] != label[i] and (own[i] or own[j]) and verified(i, j):
+                    label[label == label[j]] = label[i]
     return label
 
 
@@ -169,9 +193,10 @@ def _read(docs: DataFrame, buckets: int) -> DataFrame:
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
+        seen = set()  # sets that this task has sent
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            rows, seen, keys, owner, head_h, head_n = [], set(), [], [], [], []
+            rows, keys, owner, head_h, head_n = [], [], [], [], []
             for lo, hi in chunks(texts):
                 for doc, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi]), strict=True):
                     h = set_hash(s) if len(s) else np.int64(0)
@@ -277,7 +302,7 @@ def _edges(batches):
         keep = np.concatenate([[True], h[1:] != h[:-1]])
         if keep.sum() < 2:
             continue
-        vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype=np.int32).reshape(-1, GROUPS)[keep]
+        vec = [np.frombuffer(v, dtype=np.uint8) for v, k in zip(t.column("vec").to_pylist(), keep, strict=True) if k]
         h, n = h[keep], n[keep]
         label = join(n, vec, lambda i, j: True)
         for i in np.flatnonzero(label != np.arange(len(label))):
@@ -304,7 +329,7 @@ def _links(batches):
         n = np.array([len(s) for s in own], dtype=np.int64)
         if len(own) < 2:
             continue
-        label = join(n, np.stack([counts(s) for s in own]), lambda i, j: overlap(own[i], own[j]) >= enough(n[i], n[j]))
+        label = join(n, [counts(s) for s in own], lambda i, j: overlap(own[i], own[j]) >= enough(n[i], n[j]))
         rest = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array([order[label[i]] for i in rest], pa.int64()), pa.array([order[i] for i in rest], pa.int64())], ["u", "v"])
 
