@@ -117,4 +117,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
     kept = judge(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)

@@ -154,7 +154,7 @@ def redact_documents(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
         lambda acc, h: F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.when(h["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (h["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = docs.withColumn("blob", F.sha2(text, 256)).join(by_blob, "blob", "left").withColumn("text", F.when(F.col("hits").isNotNull(), cut).otherwise(F.col("text")))
+    joined = docs.withColumn("blob", F.sha2(text, 256)).join(by_blob.hint("merge"), "blob", "left").withColumn("text", F.when(F.col("hits").isNotNull(), cut).otherwise(F.col("text")))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

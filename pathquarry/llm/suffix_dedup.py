@@ -512,6 +512,6 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     changed = Scratch(spark).put(_applied(docs, True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("key").alias("t"), "kept").dropDuplicates(["d", "t"]))
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
     keyed = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(changed, ["d", "t"], "left")
+    joined = keyed.join(changed.hint("merge"), ["d", "t"], "left")
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.coalesce(whole, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
