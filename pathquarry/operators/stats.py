@@ -22,9 +22,10 @@ def direct_counts(paths: DataFrame) -> DataFrame:
 
 def roll_up(direct: DataFrame) -> DataFrame:
     """dir, direct, recursive.  Only directories are spread over their ancestors, weighted by their counts; the root has no recursive count."""
-    spread = direct.where(~is_root(F.col("dir"))).select(F.explode(ancestors(F.col("dir"))).alias("dir"), F.lit(0).cast("long").alias("direct"), F.col("direct").alias("recursive"))
-    own = direct.select("dir", "direct", F.lit(0).cast("long").alias("recursive"))
-    return spread.unionByName(own).groupBy("dir").agg(F.sum("direct").alias("direct"), F.sum("recursive").alias("recursive"))
+    above = F.when(is_root(F.col("dir")), F.array("dir")).otherwise(ancestors(F.col("dir")))
+    spread = direct.select(F.col("dir").alias("own"), F.col("direct").alias("n"), F.explode(above).alias("dir"))
+    own, below = F.when(F.col("dir") == F.col("own"), F.col("n")), F.when(~is_root(F.col("own")), F.col("n"))
+    return spread.groupBy("dir").agg(F.coalesce(F.sum(own), F.lit(0)).alias("direct"), F.coalesce(F.sum(below), F.lit(0)).alias("recursive"))
 
 
 def count_directories(paths: DataFrame, distinct: bool = False) -> DataFrame:
