@@ -356,8 +356,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     points = known.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     groups = read.where("kind = 1").select("bucket", "payload").repartition(parts, "bucket").mapInArrow(lambda bs: _groups(bs), "gid long, h long, n long")
     groups = scratch.put(groups)
-    vectors = known.join(points.select("h", "rep"), "h").where("doc_id = rep").select("h", "vec").join(groups.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    met = groups.join(vectors, "h").repartition(parts, "gid").sortWithinPartitions("gid", "n", "h")
+    # None of these sides has a bound, so none is broadcast, however small it looks.
+    vectors = known.join(points.select("h", "rep").hint("merge"), "h").where("doc_id = rep").select("h", "vec").join(groups.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
+    met = groups.join(vectors.hint("merge"), "h").repartition(parts, "gid").sortWithinPartitions("gid", "n", "h")
     maybe = components(met.mapInArrow(lambda bs: _edges(bs), "u long, v long"), scratch)
     # Candidate components: their documents meet again, whole or as pairs of blocks of bounded size.
     maybe = scratch.put(maybe.withColumnRenamed("node", "h").join(points, "h"))
@@ -367,7 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = maybe.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     met = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or mine <> other")
     met = met.select("h", F.col("rep").alias("doc_id"), F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
-    met = met.join(_compressed(docs), "doc_id").repartition(parts, "gid").sortWithinPartitions("gid")
+    met = met.hint("merge").join(_compressed(docs), "doc_id").repartition(parts, "gid").sortWithinPartitions("gid")
     labels = components(met.mapInArrow(lambda bs: _links(bs), "u long, v long"), scratch)
     labelled = rows.select("doc_id", "n_shingles", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     lowest = labelled.where("n_shingles > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -378,4 +379,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest doc_id of each component; columns as before."""
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
