@@ -2,9 +2,10 @@
 
 Markup is stripped to one line for each block.  Lines of menus, adverts, forms
 and other page furniture weigh nothing, other lines weigh their text outside
-links.  The weights summed over a sliding window of lines show where the text
-surges and where it dives; everything between such points is kept, short and
-link-only lines included.
+links.  Inside an article or main element links weigh too; the element decides
+nothing else.  The weights summed over a sliding window of lines show where the
+text surges and where it dives; everything from the first surge to the last
+dive is kept, short and link-only lines included.
 
 Null or empty html, or html without text: empty text.  Broken markup is read
 leniently: unclosed elements end with their parent, and furniture that was
@@ -139,29 +140,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def extract(page: str | None) -> str:
     lines = lines_of(page or "")
-    if any(inside for text, _, inside in lines if text):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
-    weights = [w for _, w, _ in lines]
+    weights = [len(text) if inside else w for text, w, inside in lines]
     if not any(weights):
-        return "\n".join(text for text, _, _ in lines if text) if any(inside for _, _, inside in lines) else ""
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(lines))]
+        return ""
+    n = len(lines)
+    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     high = SURGE * max(sums)
-    kept: list[str] = []
-    i, n = 0, len(lines)
+    first, last = n, -1
+    i = 0
     while i < n:
-        while i < n and not lines[i][0]:
-            i += 1  # the next run of text
-        first = i
-        gap = 0
-        last = i
-        while i < n and gap < WINDOW:  # text dives where a whole window is empty
-            gap = 0 if lines[i][0] else gap + 1
-            last = i if lines[i][0] else last
+        if not weights[i]:
             i += 1
-        run = lines[first : last + 1]
-        if run and (any(x[2] for x in run) or any(sums[k] >= high for k in range(first, last + 1) if lines[k][1])):
-            kept += [text for text, _, _ in run if text]
-    return "\n".join(kept)
+            continue
+        start = end = i
+        while i < n and sums[i]:  # text dives where a whole window is empty
+            end = i if weights[i] else end
+            i += 1
+        if any(sums[k] >= high for k in range(start, end + 1) if weights[k]):
+            first, last = min(first, start), end
+    return "\n".join(text for text, _, _ in lines[first : last + 1] if text)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

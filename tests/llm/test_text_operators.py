@@ -222,6 +222,15 @@ def test_pages(spark):
     assert [(r.page_id, r.text, r.n_chars) for r in sorted(found)] == [(i, t, len(t)) for i, t in enumerate(PAGES.values())]
 
 
+def test_window_sums_decide_beside_articles():
+    body = [f"{k} " + "main text " * 30 for k in range(4)]
+    cards = "".join(f"<article><a href='/{k}'>Teaser {k}</a></article>" for k in range(3))
+    menu = "<ul>" + "<li><a href='/'>link</a></li>" * 4 + "</ul>"
+    page = f"<body><div class=content>{''.join(f'<p>{x}</p>' for x in body)}</div>{menu}{cards}</body>"
+    assert html_text.extract(page) == "\n".join(x.strip() for x in body)
+    assert html_text.extract("<article><ul><li><a href='/'>only</a></li><li><a href='/'>links</a></li></ul></article>") == "only\nlinks"
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     words = ["w" + "".join(rng.choice(list("abcdef"), 4)) for _ in range(400)]
