@@ -9,8 +9,10 @@ dive is kept, short and link-only lines included.
 
 Null or empty html, or html without text: empty text.  Broken markup is read
 leniently: unclosed elements end with their parent, and furniture that was
-never closed ends where an article or main element begins.  Repeated rows give
-repeated rows; columns other than page_id, url and html are ignored.
+never closed ends where an article or main element begins; only script, style,
+textarea and title are raw text and read on to the end of the page.  Formulas
+are text.  Repeated rows give repeated rows; columns other than page_id, url and
+html are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,12 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 #: Lines in a sliding window, and the share of the largest window sum at which text surges.
 WINDOW, SURGE = 3, 0.2
 
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option head".split())
+#: Elements whose content is raw text up to their end tag, and those whose content is no text of the page.
+RAW = frozenset("script style textarea title".split())
+EMBEDDED = frozenset("noscript template iframe svg object select datalist optgroup option".split())
 FURNITURE = frozenset("nav header footer aside form button dialog menu fieldset label input".split())
+#: What a head may hold; any other element ends it.
+HEAD = RAW | frozenset("head base basefont bgsound link meta noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Words of class, id and role names that mark page furniture.
@@ -68,7 +74,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
-    state = {"furniture": 0, "article": 0, "links": 0}
+    state = {"furniture": 0, "article": 0, "links": 0, "embedded": 0}
     linked = 0
 
     def close_line() -> None:
@@ -85,12 +91,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         state["furniture"] -= furniture
         state["article"] -= article
         state["links"] -= tag == "a"
+        state["embedded"] -= tag in EMBEDDED
+
+    def leave(tag: str) -> None:
+        """Pop the innermost element of this name and all within it."""
+        while stack[-1][0] != tag:
+            pop()
+        pop()
 
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
-        if text:
+        if text and not state["embedded"]:
             parts.append(text)
             if state["links"]:
                 linked += len(text)
@@ -101,36 +114,40 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag in BLOCKS:
+            known = any(x[0] == tag for x in stack)
+            if known:
+                while state["embedded"] and stack[-1][0] != tag:
+                    pop()  # embedded elements that were never closed
+            if tag in BLOCKS and not state["embedded"]:
                 close_line()
-            if any(x[0] == tag for x in stack):
-                while stack and stack[-1][0] != tag:
-                    pop()
-                pop()
+            if known:
+                leave(tag)
             continue
         attributes = m[3] or m[6] or ""
-        if tag in BLOCKS:
+        if tag not in HEAD and any(x[0] == "head" for x in stack) and not any(x[0] == "template" for x in stack):
+            leave("head")
+        if tag in BLOCKS and any(x[0] == "svg" for x in stack) and not any(x[0] == "foreignobject" for x in stack):
+            leave("svg")
+        if tag in BLOCKS and not state["embedded"]:
             close_line()
         elif tag == "br":
             parts.append("\n")
         if tag in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if end:
-                at = end.end()
-            elif tag != "head":
-                at = size
+            at = end.end() if end else size
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in ("article", "main") and not any(x[2] for x in stack):
-            while any(x[1] for x in stack):
+        if tag in ("article", "main") and not any(x[2] or x[0] in ("template", "noscript", "iframe", "object") for x in stack):
+            while any(x[1] or x[0] in EMBEDDED for x in stack):
                 pop()  # furniture that was never closed
         elif tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             pop()
         kind = (tag, _furniture(tag, attributes, state["article"] > 0), tag in ("article", "main"))
-        if kind[1] and tag not in BLOCKS:
+        if kind[1] and tag not in BLOCKS and not state["embedded"]:
             close_line()
         stack.append(kind)
+        state["embedded"] += tag in EMBEDDED
         state["furniture"] += kind[1]
         state["article"] += kind[2]
         state["links"] += tag == "a"

@@ -231,6 +231,24 @@ def test_window_sums_decide_beside_articles():
     assert html_text.extract("<article><ul><li><a href='/'>only</a></li><li><a href='/'>links</a></li></ul></article>") == "only\nlinks"
 
 
+def test_unclosed_elements_end_with_their_parent():
+    pages = {
+        "<datalist id=x><option value=a><option value=b></datalist><article><p>text</p></article>": "text",
+        "<datalist id=x><option value=a></datalist><article><p>one</p></article><select><option>no</option></select><p>two</p>": "one\ntwo",
+        "<div><svg><path d=''></div><p>after svg</p>": "after svg",
+        "<div><p>a <svg><text>no</text><p>b</p></div><p>c</p>": "a\nb\nc",
+        "<div><math><mi>x</mi></div><p>after math</p>": "x\nafter math",
+        "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>": "so x=1 holds",
+        "<div>a<object><p>no</div><p>b</p>": "a\nb",
+        "<div>a<select><option>no</div><p>b</p>": "a\nb",
+        "<div>a <iframe>no</iframe>b</div><noscript><p>no</p></noscript><template><article>no</article></template>": "a b",
+        "<head><noscript><link></head><body><p>a</p>": "a",
+        "<head><title>t</title><p>no end of the head</p>": "no end of the head",
+    }
+    for page, text in pages.items():
+        assert html_text.extract(page) == text, page
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     words = ["w" + "".join(rng.choice(list("abcdef"), 4)) for _ in range(400)]
