@@ -5,7 +5,8 @@ and other page furniture weigh nothing, other lines weigh their text outside
 links.  Inside an article or main element links weigh too; the element decides
 nothing else.  The weights summed over a sliding window of lines show where the
 text surges and where it dives; everything from the first surge to the last
-dive is kept, short and link-only lines included.
+dive is kept, short and link-only lines included, and so are the lines before
+and after it in the same group (div, section, ...).
 
 Null or empty html, or html without text: empty text.  Broken markup is read
 leniently: unclosed elements end with their parent, and furniture that was
@@ -18,7 +19,10 @@ html are ignored.
 from __future__ import annotations
 
 import html
+import os.path
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,43 +41,67 @@ FURNITURE = frozenset("nav header footer aside form button dialog menu fieldset
 HEAD = RAW | frozenset("head base basefont bgsound link meta noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class, id and role names that mark page furniture.
+#: Whole class, id and role names that mark page furniture, on these elements only.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar aside complementary masthead header topbar footer contentinfo copyright "
-    "comment comments commentlist discussion disqus replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox widget widgets skip tags".split()
+    "comment comments commentlist discussion disqus replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox widget widgets skip tags "
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper google-ad top-ad cookie-notice cookie-banner cookie-bar cookie-consent cookie-popup gdpr-banner gdpr-notice consent-banner alert-box "
+    "main-nav main-menu main-navigation nav-bar nav-menu nav-links site-nav site-navigation top-nav top-menu top-bar side-nav side-bar side-menu left-sidebar right-sidebar sidebar-left "
+    "site-header page-header site-footer page-footer footer-links footer-nav copyright-notice comment-list comment-form comments-area comments-section user-comments disqus_thread "
+    "share-bar share-buttons share-links social-links social-icons social-media social-share related-articles related-links related-posts related-stories recommended-articles "
+    "newsletter-signup newsletter-form login-form search-box search-form search-bar tag-list sidebar-widget widget-area skip-link skip-links".split()
 )
+CONTAINERS = frozenset("article aside center details dialog div dl fieldset figure footer form header ins menu nav ol section table ul".split())
+#: Elements that group the lines of one text.
+GROUPS = frozenset("article div form main section td".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z0-9]+")
 
+#: How an element is furniture: not at all, unless it holds most of the page, always.
+NO, MAYBE, YES = 0, 1, 2
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
     if tag in ("html", "body", "main"):
-        return False
+        return NO
+    found = NO
     if tag in FURNITURE and not (tag == "header" and in_article):
-        return True
+        found = MAYBE if tag == "form" else YES
     for name, *values in _NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role"):
-            found = NAMES.intersection(_WORDS.findall(value))
+            return YES
+        if name in ("class", "id", "role") and tag in CONTAINERS:
+            named = NAMES.intersection(value.split())
             if tag == "article":
-                found &= {"comment", "comments", "related", "ad", "advert", "promo", "sponsored"}
+                named &= {"comment", "comments", "related", "ad", "advert", "promo", "sponsored"}
             if in_article:
-                found -= {"header", "banner", "masthead"}
-            if found:
-                return True
-    return False
+                named -= {"header", "banner", "masthead"}
+            if named:
+                found = max(found, MAYBE)
+    return found
+
+
+class Line(NamedTuple):
+    text: str
+    #: Characters outside links; all of them inside an article or main element.
+    weight: int
+    #: The groups around it, outermost first.
+    place: tuple[int, ...]
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article or main element) of every block that is no furniture;
-    blocks of furniture are ("", 0, False)."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[Line]:
+    """Every block of text; those of furniture have no text and no weight.
+
+    An element that is furniture by its name, or a form, holds text all the same
+    if it has most of the characters and most of the lines that are not furniture
+    for sure.
+    """
+    lines: list[tuple[Line, bool, list[int]]] = []  # furniture for sure; elements that may be
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+    stack: list[tuple[str, int, bool, int]] = []  # tag, furniture, article, number
+    number = 0
     state = {"furniture": 0, "article": 0, "links": 0, "embedded": 0}
     linked = 0
 
@@ -83,12 +111,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append(("", 0, False) if state["furniture"] else (text, max(0, len(text) - linked), state["article"] > 0))
+                weight = len(text) if state["article"] else max(0, len(text) - linked)
+                line = Line(text, weight, tuple(x[3] for x in stack if x[0] in GROUPS))
+                lines.append((line, state["furniture"] > 0, [x[3] for x in stack if x[1] == MAYBE]))
         linked = 0
 
     def pop() -> None:
-        tag, furniture, article = stack.pop()
-        state["furniture"] -= furniture
+        if stack[-1][1] and not state["embedded"]:
+            close_line()
+        tag, furniture, article, _ = stack.pop()
+        state["furniture"] -= furniture == YES
         state["article"] -= article
         state["links"] -= tag == "a"
         state["embedded"] -= tag in EMBEDDED
@@ -143,21 +175,30 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 pop()  # furniture that was never closed
         elif tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             pop()
-        kind = (tag, _furniture(tag, attributes, state["article"] > 0), tag in ("article", "main"))
+        number += 1
+        kind = (tag, _furniture(tag, attributes, state["article"] > 0), tag in ("article", "main"), number)
         if kind[1] and tag not in BLOCKS and not state["embedded"]:
             close_line()
         stack.append(kind)
         state["embedded"] += tag in EMBEDDED
-        state["furniture"] += kind[1]
+        state["furniture"] += kind[1] == YES
         state["article"] += kind[2]
         state["links"] += tag == "a"
     close_line()
-    return lines
+    open_lines = [(line, named) for line, sure, named in lines if not sure]
+    chars, count = Counter(), Counter()
+    for line, named in open_lines:
+        for k in named:
+            chars[k] += len(line.text)
+            count[k] += 1
+    most = sum(len(line.text) for line, _ in open_lines)
+    held = {k for k in count if 2 * chars[k] > most and 2 * count[k] > len(open_lines)}
+    return [line._replace(text="", weight=0) if sure or not held.issuperset(named) else line for line, sure, named in lines]
 
 
 def extract(page: str | None) -> str:
     lines = lines_of(page or "")
-    weights = [len(text) if inside else w for text, w, inside in lines]
+    weights = [x.weight for x in lines]
     if not any(weights):
         return ""
     n = len(lines)
@@ -175,7 +216,11 @@ def extract(page: str | None) -> str:
             i += 1
         if any(sums[k] >= high for k in range(start, end + 1) if weights[k]):
             first, last = min(first, start), end
-    return "\n".join(text for text, _, _ in lines[first : last + 1] if text)
+    # Text of the same group beside it, cut off by furniture, goes on with it, however short.
+    places = {x.place for x in lines[first : last + 1] if x.text}
+    group = tuple(os.path.commonprefix(list(places)))
+    kept = [x.text for i, x in enumerate(lines) if x.text and (first <= i <= last or group and x.place[: len(group)] == group or x.weight and x.place in places)]
+    return "\n".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

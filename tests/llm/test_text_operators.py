@@ -249,6 +249,21 @@ def test_unclosed_elements_end_with_their_parent():
         assert html_text.extract(page) == text, page
 
 
+def test_paragraphs_stay_whatever_their_size_or_name():
+    long = [f"{k} " + "word " * 99 + "end" for k in range(3)]
+    p = "".join(f"<p>{x}</p>" for x in long)
+    closing, related = "a closing paragraph", "<ul class=related><li>r</li><li>r</li><li>r</li></ul>"
+    for page in (f"<div>{p}{related}<p>{closing}</p></div>", f"<body>{p}{related}<p>{closing}</p></body>", f"<div><section>{p}</section><section>{long[0]}</section>{related}<section><p>{closing}</p></section></div>"):
+        assert html_text.extract(page).split("\n")[-1] == closing, page
+        assert "r" not in html_text.extract(page).split("\n")
+    body = "\n".join(long)
+    assert html_text.extract(f"<article><h2 id='social-history'>History</h2>{p}<section id='related-work'><p>Work</p></section></article>") == f"History\n{body}\nWork"
+    assert html_text.extract(f"<article><h2 id=related class=search>History</h2>{p}</article>") == f"History\n{body}"
+    for wrapper in ("<div class='layout sidebar-right'>", "<div class='widget'>", "<form>"):
+        assert html_text.extract(f"<body>{wrapper}{p}</div></form><div class=ad>buy</div></body>") == body, wrapper
+    assert html_text.extract("<div class=ad>a long advert with more text than the page</div><article><h1>t</h1><p>x</p></article>") == "t\nx"
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     words = ["w" + "".join(rng.choice(list("abcdef"), 4)) for _ in range(400)]
