@@ -18,8 +18,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of each group of linked documents the one with the smallest doc_id stays; those without doc_id come last."""
+    return jaccard_join.keep_one(docs, unnamed=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

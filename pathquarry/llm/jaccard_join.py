@@ -376,7 +376,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest doc_id of each component; columns as before."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+def keep_one(docs: DataFrame, unnamed: bool = False) -> DataFrame:
+    """Of each component the document with the smallest doc_id, then text hash; columns as before.
+
+    A document is a doc_id with a text: other texts under the same doc_id are
+    judged by themselves, and rows that repeat both stay together.  Rows without
+    doc_id stay, or with `unnamed` take part, after all others; of those with
+    equal texts one stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    key = F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("_key", key if unnamed else F.when(F.col("doc_id").isNotNull(), key))
+    linked = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).where("doc_id <> component_id")
+    linked = scratch.put(linked.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("root")).distinct())
+    linked = linked.unionByName(linked.select(F.col("root").alias("_key"), "root").distinct())
+    # Keys are hashes, so the document that stays is found by what they stand for.
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
+    met = scratch.put(keyed.select("_key", order.alias("at")).join(linked.hint("merge"), "_key"))
+    least = met.groupBy("root").agg(F.min("at").alias("least"))
+    gone = met.join(least.hint("merge"), "root").where("at <> least").select("_key").distinct()
+    kept = keyed.join(gone.hint("merge"), "_key", "left_anti")
+    if unnamed:
+        words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        alone = F.col("doc_id").isNull() & words
+        kept = kept.where(~alone).unionByName(kept.where(alone).dropDuplicates(["text"]))
+    return kept.select(docs.columns)

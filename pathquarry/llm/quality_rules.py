@@ -36,19 +36,19 @@ RULES = {
 }
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts and the features of every document."""
+def features(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, lang, the counts and the features of every document, and the columns carried along."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.select("doc_id", "lang", text.alias("text"))
+    d = docs.select("doc_id", "lang", *carried, text.alias("text"))
     d = d.select(
-        "doc_id", "lang", F.array_remove(F.split("text", f"{SPACE}+", -1), "").alias("words"), lines.alias("lines"),
+        "doc_id", "lang", *carried, F.array_remove(F.split("text", f"{SPACE}+", -1), "").alias("words"), lines.alias("lines"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
     )
     d = d.select(
-        "doc_id", "lang", "word_chars", "n_symbols", "n_upper", F.size("words").cast("long").alias("n_words"), F.size("lines").alias("n_lines"),
+        "doc_id", "lang", *carried, "word_chars", "n_symbols", "n_upper", F.size("words").cast("long").alias("n_words"), F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     starts = F.sequence(F.lit(0), F.size("hashes") - WINDOW)
@@ -67,7 +67,7 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("repeated")
     words, share = F.greatest(F.col("n_words"), F.lit(1)), lambda x, of: F.col(x) / F.greatest(F.col(of), F.lit(1))
     return d.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("n_symbols") / words).alias("symbols_per_word"), share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
         share("word_chars", "n_words").alias("chars_per_word"), share("n_upper", "word_chars").alias("upper_share"),
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
@@ -103,18 +103,29 @@ def certify(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     return tested.select("stratum", *[cutoff(r).alias(f"cut_{r}") for r in RULES])
 
 
+def _rejected():
+    """Whether a certified cutoff is reached; the cutoffs stand beside the features."""
+    rejected = F.lit(False)
+    for r in RULES:
+        rejected = rejected | F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False))
+    return rejected
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, features, base_failed and kept of every document."""
     feats = Scratch(docs.sparkSession).put(features(docs))
     cuts = certify(feats, labels)
     joined = feats.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(cuts, "stratum", "left")
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", "lang", *[f"cut_{r}" for r in RULES])
+    return joined.withColumn("kept", ~F.col("base_failed") & ~_rejected()).drop("stratum", "lang", *[f"cut_{r}" for r in RULES])
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns."""
-    kept = judge(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    """The documents that are kept, with their columns; each row is judged by its own text, whatever its doc_id.
+
+    Rows are written with their features, so that no join has to find them again.
+    """
+    feats = Scratch(docs.sparkSession).put(features(docs.withColumn("row", F.struct(*docs.columns)), "row"))
+    cuts = certify(feats, labels)
+    some = cuts.where(F.coalesce(*[f"cut_{r}" for r in RULES]).isNotNull())  # strata with many labels, so few
+    joined = feats.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(F.broadcast(some), "stratum", "left")
+    return joined.where(~F.col("base_failed") & ~_rejected()).select("row.*")
