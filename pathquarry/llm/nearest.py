@@ -12,8 +12,9 @@ reads less where vectors do cluster.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part.  Vectors of different lengths are never compared.  Ties go to the smaller
-vec_id; a query's own vec_id is no candidate.  Fewer than five candidates: all
-of them.  Empty tables give empty results; other columns are ignored.
+vec_id; a query's own vec_id is no candidate.  Repeated rows are one; of several
+vectors under one vec_id the best counts, for neighbours and for queries.  Fewer
+than five candidates: all of them.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,6 +87,7 @@ class Codes:
         self.lean = direction @ centre
         self.dim = dim
         self.norm = np.sqrt((vectors * vectors).sum(1))
+        self.first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # ids are in order
 
     def search(self, query_ids, queries, top: int):
         """(query_id, vec_id, score) of each query's best in this block."""
@@ -100,10 +102,12 @@ class Codes:
         for i, own in enumerate(query_ids):
             other = self.ids != own
             low = np.where(other, estimate[i] - error[i], -np.inf)
-            bar = np.partition(low, -top)[-top] if len(low) > top else -np.inf
+            each = np.maximum.reduceat(low, self.first)  # of each vec_id
+            bar = np.partition(each, -top)[-top] if len(each) > top else -np.inf
             pick = np.flatnonzero(other & (estimate[i] + error[i] >= bar))
             score = (self.vectors[pick] * queries[i]).sum(1) / (self.norm[pick] * np.sqrt((queries[i] * queries[i]).sum()))
-            best = np.lexsort((self.ids[pick], -score))[:top]
+            best = np.lexsort((self.ids[pick], -score))
+            best = best[np.sort(np.unique(self.ids[pick][best], return_index=True)[1])[:top]]
             out += [(own, v, s) for v, s in zip(self.ids[pick][best], score[best], strict=True)]
         return out
 
@@ -113,7 +117,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, probe_share:
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     scratch = Scratch(spark)
-    rows = scratch.put(usable(vectors).withColumn("dim", F.size("v")))
+    rows = scratch.put(usable(vectors).dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v")))
     dims = [(r.dim, r.n) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()]
     parts = [_search_dim(scratch, rows.where(F.col("dim") == d), d, n, every, top, probe_share) for d, n in dims]
     if not parts:
@@ -122,7 +126,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, probe_share:
     for p in parts[1:]:
         found = found.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -142,9 +147,9 @@ def _search_dim(scratch: Scratch, rows: DataFrame, dim: int, n: int, every: int,
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column("vec_id"), b.column("v")], ["cell", "vec_id", "v"])
 
     placed = scratch.put(rows.select("vec_id", "v").mapInArrow(assign, "cell int, vec_id long, v array<double>"))
-    counts = np.zeros(len(centres), dtype=np.int64)
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row for each centroid at most
-        counts[r.cell] = r.n
+    counts, distinct = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres), dtype=np.int64)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")).collect():  # a row for each centroid at most
+        counts[r.cell], distinct[r.cell] = r.n, r.ids
     blocks = np.maximum(1, -(-counts // BLOCK))
     many = F.array(*[F.lit(int(x)) for x in blocks])
     held = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), many[F.col("cell")]).cast("int")).select("cell", "block", F.lit(0).alias("query"), "vec_id", "v")
@@ -156,7 +161,7 @@ def _search_dim(scratch: Scratch, rows: DataFrame, dim: int, n: int, every: int,
             near = np.argsort(half - _unit(_matrix(b.column("v"))) @ centres.T, axis=1, kind="stable")
             who, cell, block = [], [], []
             for i, order in enumerate(near):
-                enough = int(np.searchsorted(np.cumsum(counts[order]), top + 1)) + 1  # cells that hold that many
+                enough = int(np.searchsorted(np.cumsum(distinct[order]), top + 1)) + 1  # cells that hold that many
                 for c in order[: max(probes, enough)]:
                     if counts[c]:
                         who += [i] * int(blocks[c])
