@@ -459,14 +459,19 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, texts
 
 
-def _kept(data: bytes, starts: list[int], lengths: list[int]) -> tuple[bytes, int, int]:
-    """The bytes outside the ranges, how many went, and in how many runs."""
+def _kept(data: bytes, starts: list[int], lengths: list[int], whole: bool = False) -> tuple[bytes, int, int]:
+    """The bytes outside the ranges, how many went, and in how many runs; whole: ranges are widened to whole characters."""
     if not starts:
         return data, 0, 0
     change = np.zeros(len(data) + 1, dtype=np.int32)
     np.add.at(change, np.array(starts), 1)
     np.add.at(change, np.array(starts) + np.array(lengths), -1)
     gone = np.cumsum(change[:-1]) > 0
+    if whole:
+        lead = np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80
+        lead[0] = True
+        at = np.flatnonzero(lead)
+        gone = np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(gone))))
     return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), len(runs(gone)[0])
 
 
@@ -490,7 +495,7 @@ def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
                     lengths.append(length)
                     continue
                 data = expand(z)
-                kept, gone, spans_ = _kept(data, starts, lengths)
+                kept, gone, spans_ = _kept(data, starts, lengths, whole=with_bytes)
                 rows.append((None if d == LAST else d, t, len(data), gone, spans_, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
@@ -510,8 +515,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     changed = Scratch(spark).put(_applied(docs, True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("key").alias("t"), "kept").dropDuplicates(["d", "t"]))
-    whole = F.try_validate_utf8(F.col("kept").cast("string"))
     keyed = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(changed.hint("merge"), ["d", "t"], "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.coalesce(whole, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
