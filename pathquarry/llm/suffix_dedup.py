@@ -18,8 +18,10 @@ of eight places, then for single ones, where equal windows are one class.
 
 Null text is empty.  Rows with equal doc_id and text are one document and get
 the same result; rows that share a doc_id only are ordered by a hash of the
-text.  Rows without doc_id come last.  Texts shorter than LENGTH stay whole.
-Other columns are ignored.
+text.  Rows without doc_id count as the largest doc_id.  Texts shorter than
+LENGTH stay whole.  Long texts are read in slices that overlap, so they are cut
+like any other.  Empty input gives empty output.  Other columns are ignored, or
+carried along where documents are returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import mix, pack, spans, unpack
-from ._common import Scratch, shuffle_partitions, small_batches
+from ._common import Scratch, frugal, shuffle_partitions, small_batches
 
 LENGTH, GRAM = 100, 16
 REACH = LENGTH - GRAM + 1
 #: Texts under one name at most, bytes indexed together at least (if there are that many), bytes hashed together.
-HOT, INDEX, CHUNK = 4096, 600_000, 1_500_000
-#: Bytes whose segments a task compares before it sends them on.
-SENT = 24_000_000
+HOT, INDEX, CHUNK = 2048, 300_000, 400_000
+#: Bytes whose segments a task compares before it sends them on; segments in a batch of rows.
+SENT, ROWS = 12_000_000, 50_000
+#: Bins of names for each partition, up to that many bins in all; a task holds one bin at a time.
+BINS, MOST_BINS = 8, 1024
 PLACE = np.uint64((1 << 21) - 1)
 LAST = (1 << 63) - 1
 
@@ -122,8 +126,9 @@ def segments(parts: list[bytes]):
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
     order = np.argsort(key)
     ordered = key[order]
-    new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-    out = np.empty(len(key), dtype=np.int64)
+    new = np.zeros(len(key), dtype=np.int32)
+    np.cumsum(ordered[1:] != ordered[:-1], out=new[1:])
+    out = np.empty(len(key), dtype=np.int32)
     out[order] = new
     return out, int(new[-1]) + 1
 
@@ -131,15 +136,16 @@ def _ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
 def bounded_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places in order of their first `depth` symbols (symbols up to 256), ties by place."""
     n, width = len(text), 7
-    padded = np.concatenate([text, np.zeros(width, dtype=np.int64)])
     key = np.zeros(n, dtype=np.int64)
     for j in range(width):
-        key = (key << 9) | padded[j : n + j]
+        key <<= 9
+        key[: max(0, n - j)] |= text[j:]
     rank, kinds = _ranks(key)
     while width < depth and kinds < n:
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: max(0, n - width)] = rank[width:] + 1
-        rank, kinds = _ranks(rank * (n + 1) + ahead)
+        np.multiply(rank, n + 1, out=key, dtype=np.int64)
+        key[: max(0, n - width)] += rank[width:]
+        key[: max(0, n - width)] += 1
+        rank, kinds = _ranks(key)
         width *= 2
     return np.argsort(rank, kind="stable")
 
@@ -153,9 +159,9 @@ def divided(bwt: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(bwt)
     order = np.argsort(bwt, kind="stable")
-    step = np.empty(n, dtype=np.int64)  # row of the suffix one symbol longer
-    step[order] = np.arange(n)
-    following = np.full(n, n, dtype=np.int64)  # next row with this symbol
+    step = np.empty(n, dtype=np.int32)  # row of the suffix one symbol longer
+    step[order] = np.arange(n, dtype=np.int32)
+    following = np.full(n, n, dtype=np.int32)  # next row with this symbol
     same = bwt[order[1:]] == bwt[order[:-1]]
     following[order[:-1][same]] = order[1:][same]
     known = np.zeros(n + 1, dtype=bool)
@@ -181,12 +187,12 @@ def divided(bwt: np.ndarray, depth: int) -> np.ndarray:
 def repeats(texts: list[bytes]) -> list[np.ndarray]:
     """For texts in order of their places: for each, which of its windows a text before it holds."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
-    text = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int16) + np.int16(1)
     begin = np.cumsum(size + 1) - size - 1
     text[begin + size] = 0
     order = bounded_suffix_order(text, LENGTH)
-    group = np.cumsum(divided(text[order - 1], LENGTH))
-    owner = np.repeat(np.arange(len(texts)), size + 1)
+    group = np.cumsum(divided(text[order - 1], LENGTH), dtype=np.int32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)
     whole = np.arange(len(text)) <= np.repeat(begin + size - LENGTH, size + 1)
     rows = np.flatnonzero(whole[order])
     place, group = order[rows], group[rows]
@@ -210,53 +216,64 @@ _PLACES = "kind int, name long, text long, d long, t long, start long, length in
 _SLICES = _PLACES + ", bytes binary"
 
 
+def _key(doc_id="doc_id", text="text") -> list:
+    """What a document is known by: d orders (no doc_id: last), t tells texts apart and rows without doc_id from others."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(text, F.lit("")), F.col(doc_id).isNull()).alias("t")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """d, t: what a document is known by; z: its compressed bytes."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    """d, t, named: whether there is a doc_id, z: the compressed bytes."""
+    keyed = docs.select(*_key(), F.col("doc_id").isNotNull().alias("named"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("t"), pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())], ["d", "t", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("t"), b.column("named"), pa.array([z.compress(x.as_py().encode()) for x in b.column("text")], pa.binary())], ["d", "t", "named", "z"])
 
-    return keyed.select("d", "t", "text").mapInArrow(run, "d long, t long, z binary")
+    return keyed.mapInArrow(frugal(run), "d long, t long, named boolean, z binary")
 
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Segments by bucket of their name, packed."""
-    keyed = docs.where("length(text) > 0").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text").withColumn("t", F.xxhash64("text"))
+    """Segments by bin of their name, packed; those known to repeat others need no bin and are spread."""
+    keyed = docs.where(f"octet_length(text) >= {LENGTH}").select(*_key(), "text")
 
     def read(held):
         ds, ts, offsets, parts = zip(*held, strict=True)
         part, start, length, name, text = segments(list(parts))
         return name, text, np.array(ds, dtype=np.int64)[part], np.array(ts, dtype=np.int64)[part], start + np.array(offsets, dtype=np.int64)[part], length.astype(np.uint16)
 
-    def blobs(found):
+    def blobs(found, sent):
         name, text, d, t, start, length = (np.concatenate(x) for x in zip(*found, strict=True))
         # Of equal segments read here the first place is enough to meet others; later places are known to repeat it.
         order = np.lexsort((start, t, d, text, name))
         name, text, d, t, start, length = (x[order] for x in (name, text, d, t, start, length))
-        head = np.concatenate([[True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])])
+        head = np.ones(len(name), dtype=bool)
+        head[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
         head[1:] |= (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (start[1:] == start[:-1])  # of a repeated row
-        at = mix(name) % np.uint64(buckets)
         where, out, kinds = [], [], []
-        for flag, known in ((INDEXED, head), (REPEAT, ~head)):
-            pick = np.flatnonzero(known)
-            order = pick[np.argsort(at[pick], kind="stable")]
-            edge = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
-            for k in range(buckets):
-                if edge[k] < edge[k + 1]:
-                    o = order[edge[k] : edge[k + 1]]
-                    where.append(k)
-                    kinds.append(flag)
-                    out.append(pack(name[o], text[o], d[o], t[o], start[o], length[o]))
-        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], ["bucket", "kind", "payload"])
+        pick = np.flatnonzero(head)
+        at = mix(name[pick]) % np.uint64(buckets)
+        order = np.argsort(at, kind="stable")
+        pick, edge = pick[order], np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
+        for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            o = pick[edge[k] : edge[k + 1]]
+            where.append(k)
+            kinds.append(INDEXED)
+            out.append(pack(name[o], text[o], d[o], t[o], start[o], length[o]))
+        pick = np.flatnonzero(~head)
+        for lo in range(0, len(pick), ROWS):
+            o = pick[lo : lo + ROWS]
+            where.append(int(mix(name[o[:1]] + np.uint64(sent + lo))[0] >> np.uint64(34)))
+            kinds.append(REPEAT)
+            out.append(pack(name[o], text[o], d[o], t[o], start[o], length[o]))
+        for lo in range(0, len(where), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 256], k) for x, k in ((where, pa.int32()), (kinds, pa.int32()), (out, pa.binary()))], ["bucket", "kind", "payload"])
 
     def run(batches):
-        held, size, found, read_so_far = [], 0, [], 0
+        held, size, found, read_so_far, sent = [], 0, [], 0, 0
         for b in batches:
-            for d, t, text in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = text.encode()
+            for d, t, text in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("text"), strict=True):
+                data = text.as_py().encode()
                 for at in range(0, max(1, len(data) - LENGTH + 1), CHUNK):  # a long text is read in slices that share LENGTH - 1 bytes
                     part = data[at : at + CHUNK + LENGTH - 1]
                     if held and size + len(part) > CHUNK:
@@ -264,16 +281,17 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
                         read_so_far += size
                         held, size = [], 0
                     if read_so_far >= SENT:
-                        yield blobs(found)
+                        yield from blobs(found, sent)
+                        sent += read_so_far
                         found, read_so_far = [], 0
                     held.append((d, t, at, part))
                     size += len(part)
         if held:
             found.append(read(held))
         if found:
-            yield blobs(found)
+            yield from blobs(found, sent)
 
-    return keyed.select("d", "t", "text").mapInArrow(run, "bucket int, kind int, payload binary")
+    return keyed.select("d", "t", "text").mapInArrow(frugal(run), "bucket int, kind int, payload binary")
 
 
 def _rows(kind, name, text, d, t, start, length):
@@ -282,26 +300,34 @@ def _rows(kind, name, text, d, t, start, length):
 
 
 def _places(batches):
-    """kind REPEAT: a later place of a class, which goes whole; INDEXED, SPLIT: the first places of the classes under a name."""
-    held: list[list[np.ndarray]] = [[] for _ in range(6)]
+    """kind REPEAT: a later place of a class, which goes whole; INDEXED, SPLIT: the first places of the classes under a name.
+
+    Batches come in order of their bins; one bin is held at a time.
+    """
     types = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint16)
+    held, at = [], None
     for b in batches:
-        for kind, blob in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
-            columns = unpack(blob, *types)
+        for bucket, kind, blob in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("payload"), strict=True):
+            columns = unpack(blob.as_py(), *types)
             if kind == REPEAT:
                 yield _rows(np.full(len(columns[0]), REPEAT), *columns)
                 continue
-            for h, x in zip(held, columns, strict=True):
-                h.append(x)
-    if not held[0]:
+            if bucket != at:
+                yield from _bin(held)
+                held, at = [], bucket
+            held.append(columns)
+    yield from _bin(held)
+
+
+def _bin(held):
+    if not held:
         return
-    name = np.concatenate(held[0])
+    name = np.concatenate([h[0] for h in held])
     _, place, count = np.unique(name, return_inverse=True, return_counts=True)
     keep = count[place] > 1
-    name, text, d, t, start, length = [np.concatenate(h)[keep] for h in held]
-    del held, place, count
-    if not len(name):
+    if not keep.any():
         return
+    name, text, d, t, start, length = [np.concatenate(h)[keep] for h in zip(*held, strict=True)]
     order = np.lexsort((start, t, d, text, name))
     name, text, d, t, start, length = [x[order] for x in (name, text, d, t, start, length)]
     again = np.concatenate([[False], (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (start[1:] == start[:-1]) & (name[1:] == name[:-1])])  # of a repeated row
@@ -312,8 +338,8 @@ def _places(batches):
     classes = np.repeat(classes, np.diff(np.append(top, len(name))))
     kind = np.where(~head, REPEAT, np.where(classes == 1, -1, np.where(classes <= HOT, INDEXED, SPLIT)))
     keep = np.flatnonzero(kind >= 0)
-    for lo in range(0, len(keep), 50_000):
-        p = keep[lo : lo + 50_000]
+    for lo in range(0, len(keep), ROWS):
+        p = keep[lo : lo + ROWS]
         yield _rows(kind[p], name[p], text[p], d[p], t[p], start[p], length[p])
 
 
@@ -325,11 +351,11 @@ def _sliced(places: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         expand, key, packed, data = zstandard.ZstdDecompressor().decompress, None, b"", None
         for b in batches:
-            turn, ds, ts, z, start, length = [b.column(c).to_pylist() for c in ("turn", "d", "t", "z", "start", "length")]
-            rows, out = [], []
+            turn, ds, ts, start, length = [b.column(c).to_pylist() for c in ("turn", "d", "t", "start", "length")]
+            z, rows, out = b.column("z"), [], []
             for i, k in enumerate(turn):
                 if k == 0:
-                    key, packed, data = (ds[i], ts[i]), z[i], None
+                    key, packed, data = (ds[i], ts[i]), z[i].as_py(), None
                 elif (ds[i], ts[i]) == key:
                     data = expand(packed) if data is None else data
                     rows.append(i)
@@ -337,7 +363,7 @@ def _sliced(places: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
             taken = b.take(pa.array(rows, pa.int64())).select(["kind", "name", "text", "d", "t", "start", "length"])
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(out, pa.binary())], [*taken.schema.names, "bytes"])
 
-    return both.repartition(parts, "d", "t").sortWithinPartitions("d", "t", "turn").mapInArrow(run, _SLICES)
+    return both.repartition(parts, "d", "t").sortWithinPartitions("d", "t", "turn").mapInArrow(frugal(run), _SLICES)
 
 
 def _indexed(batches):
@@ -438,20 +464,21 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     parts, scratch = shuffle_partitions(spark), Scratch(spark)
     texts = _keyed(docs)
-    places = _packed(docs, parts).repartition(parts, "bucket").mapInArrow(lambda bs: _places(bs), _PLACES)
+    bins = max(parts, min(BINS * parts, MOST_BINS))
+    places = _packed(docs, bins).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_places), _PLACES)
     places = scratch.put(places, ("kind",))
     found = places.where(f"kind = {REPEAT}").select("d", "t", "start", "length")
     slices = scratch.put(_sliced(places.where(f"kind > {REPEAT}"), texts, parts), ("kind",))
 
     def search(heads: DataFrame) -> DataFrame:
-        return heads.select("name", "d", "t", "start", "length", "bytes").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(lambda bs: _indexed(bs), "d long, t long, start long, length int")
+        return heads.select("name", "d", "t", "start", "length", "bytes").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(frugal(_indexed), "d long, t long, start long, length int")
 
     found = found.unionByName(search(slices.where(f"kind = {INDEXED}")))
     hot = slices.where(f"kind = {SPLIT}")
     for width in (8, 1):
         if hot.isEmpty():
             break
-        pieces = scratch.put(hot.select("kind", "name", "text", "d", "t", "start", "length", "bytes").mapInArrow(_split(width), _SLICES))
+        pieces = scratch.put(hot.select("kind", "name", "text", "d", "t", "start", "length", "bytes").mapInArrow(frugal(_split(width)), _SLICES))
         later, heads, hot = _classes(pieces, scratch)
         found = found.unionByName(later)
         if width > 1:
@@ -478,8 +505,8 @@ def _kept(data: bytes, starts: list[int], lengths: list[int], whole: bool = Fals
 def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
     found, texts = repeated_ranges(docs)
     parts = shuffle_partitions(docs.sparkSession)
-    both = found.select("d", "t", F.lit(0).alias("turn"), "start", "length", F.lit(None).cast("binary").alias("z"))
-    both = both.unionByName(texts.select("d", "t", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("length"), "z"))
+    both = found.select("d", "t", F.lit(0).alias("turn"), "start", "length", F.lit(None).cast("boolean").alias("named"), F.lit(None).cast("binary").alias("z"))
+    both = both.unionByName(texts.select("d", "t", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("length"), "named", "z"))
     names = ["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -487,20 +514,20 @@ def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
         expand, key, starts, lengths = zstandard.ZstdDecompressor().decompress, None, [], []
         for b in batches:
             rows = []
-            for d, t, turn, start, length, z in zip(*[b.column(c).to_pylist() for c in ("d", "t", "turn", "start", "length", "z")], strict=True):
+            for d, t, turn, start, length, named, z in zip(*[b.column(c).to_pylist() for c in ("d", "t", "turn", "start", "length", "named")], b.column("z"), strict=True):
                 if (d, t) != key:
                     key, starts, lengths = (d, t), [], []
                 if turn == 0:
                     starts.append(start)
                     lengths.append(length)
                     continue
-                data = expand(z)
+                data = expand(z.as_py())
                 kept, gone, spans_ = _kept(data, starts, lengths, whole=with_bytes)
-                rows.append((None if d == LAST else d, t, len(data), gone, spans_, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+                rows.append((d if named else None, t, len(data), gone, spans_, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
-    return both.repartition(parts, "d", "t").sortWithinPartitions("d", "t", "turn").mapInArrow(run, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.repartition(parts, "d", "t").sortWithinPartitions("d", "t", "turn").mapInArrow(frugal(run), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def digest_documents(docs: DataFrame) -> DataFrame:
@@ -513,9 +540,10 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
     Characters of which a part went go whole.
     """
-    spark = docs.sparkSession
-    changed = Scratch(spark).put(_applied(docs, True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("key").alias("t"), "kept").dropDuplicates(["d", "t"]))
-    keyed = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(changed.hint("merge"), ["d", "t"], "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    changed = _applied(docs, True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("key").alias("t"), "kept")
+    changed = Scratch(docs.sparkSession).put(changed).dropDuplicates(["d", "t"])
+    row = docs.select(*_key(), F.struct("*").alias("row"))  # whatever the other columns are called
+    joined = row.join(changed.hint("merge"), ["d", "t"], "left")
+    text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.col("kept").cast("string"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
