@@ -16,8 +16,10 @@ import json
 
 import ahocorasick
 
-#: Entries kept in a memo before it is emptied; bounds the memory of a worker.
-MEMO = 800_000
+#: Bytes of a memo, and pairs of tokens in another, before they are dropped; both bound a worker's memory.
+MEMO, PAIRS = 64_000_000, 400_000
+#: Bytes of an entry beside its key and value.
+ENTRY = 180
 
 
 class PairBpe:
@@ -37,7 +39,7 @@ class PairBpe:
                 if (p := ids.get(t[:n])) is not None:
                     self.shorter[i] = p
                     break
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one number
         self.merged: dict[tuple[int, int], int] = {}
         self.parts = [(i, i) for i in range(len(tokens))]
         if merges is not None:
@@ -86,30 +88,32 @@ class PairBpe:
                     return True
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
+        pair = a << 32 | b
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= MEMO:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            known = self.fits[a, b] = self._beside(a, b)
+            known = self.fits[pair] = self._beside(a, b)
         return known
 
     def encode(self, piece: str) -> list[int]:
         n, fits = len(piece), self.fits
-        greedy = [i for _, i in self.automaton.iter_long(piece)]
-        before = -1
-        for i in greedy:  # mostly the longest matches stand as they are
-            if before >= 0 and not (fits.get((before, i)) or self.compatible(before, i)):
+        out: list[int] = []
+        at, last = 0, -1
+        for _, token in self.automaton.iter_long(piece):  # mostly the longest matches stand as they are
+            if last >= 0 and not (fits.get(last << 32 | token) or self.compatible(last, token)):
                 break
-            before = i
-        else:
-            if sum(map(self.length.__getitem__, greedy)) == n:
-                return greedy
+            out.append(token)
+            at += self.length[token]
+            last = token
+        if at == n:
+            return out
+        # Go on from the first two neighbours that cannot stand beside each other.
         longest = [-1] * (n + 1)
         for end, i in self.automaton.iter(piece):
             longest[end - self.length[i] + 1] = i
         open_at = bytearray(b"\x01") * (n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
+        token = longest[at]
         while token >= 0:
             last = out[-1] if out else -1
             while True:
@@ -133,15 +137,19 @@ class PairBpe:
 
 
 class Memo(dict):
-    """A bounded memo: make(key) fills what is missing."""
+    """A memo of bounded bytes in two generations: make(key) fills what is missing, and what the last two did not use is forgotten."""
 
     def __init__(self, make, limit: int = MEMO):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.size, self.old = make, limit // 2, 0, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.limit:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.size += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.size > self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = value
         return value

@@ -8,9 +8,10 @@ the shrunken rest is packed best-fit, longest first.  The plan says for ranks
 of each length which sequence and offset they take; pieces get their rank by
 counting within tasks and adding the counts of earlier tasks.
 
-Null or empty text is one piece holding the separator only.  Equal lengths are
-told apart by rank, in no defined order.  Repeated rows are packed as often as
-they occur.  Empty input gives empty output.
+Null or empty text is one piece holding the separator only.  Long texts are cut
+into pieces of the capacity, the last one shorter.  Equal lengths are told apart
+by rank, in no defined order.  Repeated rows are packed as often as they occur.
+Empty input gives empty output.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._bpe import Memo, PairBpe, as_word, word_end_vocabulary
-from ._common import Scratch, small_batches
+from ._bpe import Memo, visible_bytes
+from ._common import Scratch, frugal, small_batches
 
 CAPACITY = 2048
-_ODD = re.compile(r"[\x1c-\x1f]")
 #: The vocabulary's own split, as its file states it (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _encoders: dict[str, WordEncoder] = {}
@@ -42,31 +42,38 @@ class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
     Neither normalisation nor the split reaches across white space, so parts
-    between it are memoised.  ASCII parts are split and encoded here; others
-    go to the tokenizers library, which also normalises them.
+    between it are memoised.  Parts of ASCII and plain Latin letters are split
+    here and their words handed to the library's model; others go to the whole
+    library, which also normalises them, and so do texts that hold the string of
+    a special token: there it is that token, as the library has it by default.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.bpe = PairBpe(*word_end_vocabulary(path))
+        self.model = self.library.model
         self.split = regex.compile(WORD_PATTERN)
-        self.word = Memo(lambda w: self._pack(self.bpe.encode(as_word(w.encode()))))
+        self.visible = {b: c for c, b in visible_bytes().items()}
         self.part = Memo(self._part)
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"[\x1c-\x1f]", *map(re.escape, special)]))
 
-    @staticmethod
-    def _pack(ids) -> bytes:
+    def _whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
-        if part.isascii() or _LATIN.fullmatch(part):
-            return b"".join(map(self.word.__getitem__, self.split.findall(part.lower())))
-        return self._pack(self.library.encode(part, add_special_tokens=False).ids)
+        low = part.lower()
+        if part.isascii():
+            words = (low,) if part.isalpha() else self.split.findall(low)
+        elif _LATIN.fullmatch(part):
+            words = [w.encode().decode("latin-1").translate(self.visible) for w in self.split.findall(low)]
+        else:
+            return self._whole(part)
+        ids = [t.id for w in words for t in self.model.tokenize(w)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.part.__getitem__, text.split()))
+        return self._whole(text) if self.odd.search(text) else b"".join(map(self.part.__getitem__, text.split()))
 
 
 #: Characters that normalisation leaves alone and that have one lower-case form of their own.
@@ -176,8 +183,8 @@ def cut(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         own, seen, task = encoder(path), [0] * (capacity + 1), TaskContext.get().partitionId()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = own.encode(text or "") + b"\0\0\0\0"
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                ids = own.encode(text.as_py() or "") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
@@ -186,7 +193,7 @@ def cut(docs: DataFrame, path: str, capacity: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

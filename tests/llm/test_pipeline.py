@@ -27,7 +27,6 @@ def plain_pipeline(rows):
     cut = {i: bytes(b for b, g in zip(t.encode(), gone, strict=True) if not g).decode("utf-8", "ignore") for (i, t), gone in zip(order, removed([t.encode() for _, t in order]), strict=True)}
     rows = [(i, redacted(cut[i])) for i, _ in rows]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     out = Counter()
     for i, t in rows:
         ids = [*library.encode(t, add_special_tokens=False).ids, 0]

@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from pathquarry.llm import _bpe as bpe
 from pathquarry.llm import bpe_codec, html_text, nearest, packing, quality_rules, secret_scan, token_counts, toxicity
 from pathquarry.llm._common import Scratch
 
@@ -33,7 +34,6 @@ def test_bpe_round_trip(docs, no_docs, texts):
 def test_packing(docs, no_docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     expected = Counter()
     for i, t in texts:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
@@ -55,6 +55,24 @@ def test_packing(docs, no_docs, texts):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_word_ids_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.WordEncoder(path)
+    for t in ("", " ", "<|startoftext|>", "hi <|endoftext|> there<|endoftext|>", "<|ENDOFTEXT|>", "<| x |>", "It's DON'T we'LL 'tis ''s", "été ÀÉ straße ﬁne ½ ٣ 中文abc", "İstanbul ǅ K", "e\u0301 x\u0301y", "a\x1cb c\x85d e\u2028f", "12345 a1b2 ***foo### $9.99", "é$9—x…", "x" * 3000, "🙂🙂 ok"):
+        assert list(memoryview(own.encode(t)).cast("I")) == library.encode(t, add_special_tokens=False).ids, t
+    random_texts = np.random.default_rng(4)
+    for _ in range(300):
+        t = "".join(map(chr, random_texts.choice([*range(9, 14), *range(28, 127), *range(160, 256), 0x130, 0x2019, 0x20AC, 0x4E2D], 30)))
+        assert list(memoryview(own.encode(t)).cast("I")) == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_memo_forgets():
+    made = []
+    memo = bpe.Memo(lambda k: made.append(k) or k.encode(), limit=2 * 5 * (bpe.ENTRY + 6))
+    assert [memo[f"k{i:02}"] for i in (*range(20), 19, 18, 0)] == [f"k{i:02}".encode() for i in (*range(20), 19, 18, 0)]
+    assert len(made) == 21 and len(memo) + len(memo.old) <= 12
+
+
 def test_plan_is_optimal_on_small_instances():
     def best(items, capacity):
         items, low = sorted(items, reverse=True), len(items)
