@@ -9,15 +9,21 @@ The number of groups grows with the set, in powers of four that nest.  A tree
 over all documents would still compare most nodes with each other: documents of
 one size lie about as far apart as links may reach in any few groups.  Hence documents meet in
 trees of bounded size: once among those that share a shingle of their prefix
-(the fifth of a set that comes first in hash order; two sets of similarity 0.8
-must share one), where bounds alone decide which documents may belong together,
-and once among the documents of such a candidate component, where links are
-verified.  Larger groups are cut into blocks, and each pair of blocks is a group.
+(two sets of similarity 0.8 must share one of the fifth that comes first in any
+fixed order; here frequent shingles come last), where bounds alone decide which
+documents may belong together, and once among the documents of such a candidate
+component, where links are verified.
+
+Larger groups of a shingle are cut into blocks, and each pair of blocks is a
+group.  A large candidate component is cut into chunks that are verified apart,
+each with the same few pivots; only documents outside its largest class so far
+meet the other chunks.
 
 Copies (equal sets) are one point throughout.  Null text and texts without
 words have the empty set and link with nothing, and so do rows without doc_id
-(their component_id is null).  Repeated rows give repeated rows.  Other columns
-are ignored.
+(their component_id is null).  Long texts are hashed whole.  Repeated rows give
+repeated rows.  Empty input gives empty output.  Other columns are ignored, or
+carried along where documents are returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import mix, pack, spans, unpack
-from ._common import Scratch, shuffle_partitions, small_batches
+from ._common import Scratch, frugal, shuffle_partitions, small_batches
 from .graph import components
 
 #: Least number of groups, and members of a set for each group at most.
 WORDS, GROUPS, PER_GROUP = 5, 64, 10
-#: Points in a tree at most, and shingles of the documents verified in one group at most.
-POINTS, SHINGLES = 2048, 4_000_000
-#: Characters hashed at a time.
-CHUNK = 2_000_000
+#: Points in a tree at most, shingles of the documents verified in one group at most, and documents that all chunks of a component meet.
+POINTS, SHINGLES, PIVOTS = 2048, 4_000_000, 16
+#: Characters hashed at a time, and prefix shingles packed together.
+CHUNK, PACKED = 1_000_000, 400_000
+#: Frequent shingles that prefixes put last, at most, and the documents of a task that must hold one.
+FREQUENT, HELD = 4096, 4
+#: Bins of shingles for each partition, up to that many bins in all; a task holds one bin at a time.
+BINS, MOST_BINS = 8, 1024
+#: Bits of the filter for candidates, in words of 64: a broadcast of a fixed size.
+FILTER_WORDS = 1 << 16
 SIGN = np.uint64(1 << 63)
 
 _rng = np.random.default_rng(77)
@@ -122,6 +134,22 @@ def prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def leading(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The prefix of a set: its members in order of their hash, but the frequent ones last, the most frequent at the end."""
+    k = prefix(len(s))
+    if not len(frequent):
+        return s[:k]
+    by_value = np.argsort(frequent)
+    ordered = frequent[by_value]
+    for part in (s[: 2 * k], s):
+        at = np.minimum(np.searchsorted(ordered, part), len(ordered) - 1)
+        often = ordered[at] == part
+        if len(part) - int(often.sum()) >= k:
+            return part[~often][:k]
+    rank = by_value[at[often]]
+    return np.concatenate([s[~often], s[often][np.argsort(-rank)]])[:k]
+
+
 def enough(a, b):
     """The least overlap that sets of these sizes need: 100 * o >= 80 * (a + b - o)."""
     return -(-4 * (a + b) // 9)
@@ -187,53 +215,101 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 _SETS = "kind int, bucket int, doc_id long, n long, h long, payload binary"
 
 
-def _read(docs: DataFrame, buckets: int) -> DataFrame:
-    """kind 0: a row for each document with its set's hash and count vector; kind 1: packed prefix shingles by bucket."""
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """The shingles in most documents, most frequent first, FREQUENT at most; they only order prefixes, so any list gives right results."""
+
+    def run(batches):
+        keys, ns, seen = [], [], set()
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for lo, hi in chunks(texts):
+                sets = [s for s in shingle_sets(texts[lo:hi]) if len(s) and (h := int(set_hash(s))) not in seen and not seen.add(h)]
+                if sets:
+                    key, n = np.unique(np.concatenate(sets), return_counts=True)
+                    keys.append(key[n > 1])
+                    ns.append(n[n > 1])
+            if sum(map(len, keys)) > 4 * PACKED:
+                key, n = _summed(keys, ns)
+                top = np.argsort(-n, kind="stable")[:PACKED]
+                keys, ns = [key[top]], [n[top]]
+        if keys:
+            key, n = _summed(keys, ns)
+            top = np.argsort(-n, kind="stable")[:FREQUENT]
+            top = top[n[top] >= HELD]
+            yield pa.RecordBatch.from_arrays([pa.array(key[top].view(np.int64)), pa.array(n[top].astype(np.int64))], ["key", "n"])
+
+    found = docs.select("text").mapInArrow(frugal(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], dtype=np.int64).view(np.uint64)
+
+
+def _summed(keys, ns):
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate(ns), minlength=len(key)).astype(np.int64)
+
+
+def _read(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """kind 0: a row for each document with its set's hash and count vector; kind 1: packed prefix shingles by bin."""
     names = ["kind", "bucket", "doc_id", "n", "h", "payload"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
+    def batch(rows):
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def packed(keys, head_h, head_n):
+        size = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+        key, own = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.uint32), size)
+        at = mix(key) % np.uint64(buckets)
+        order = np.lexsort((key, at))
+        key, own, at = key[order], own[order], at[order]
+        edge = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
+        head_h, head_n = np.array(head_h, dtype=np.int64), np.array(head_n, dtype=np.int64)
+        rows = []
+        for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            used, local = np.unique(own[edge[k] : edge[k + 1]], return_inverse=True)
+            rows.append((1, k, None, 0, 0, pack(key[edge[k] : edge[k + 1]], local.astype(np.uint32), head_h[used], head_n[used])))
+        for lo in range(0, len(rows), 256):
+            yield batch(rows[lo : lo + 256])
+
     def run(batches):
         seen = set()  # sets that this task has sent
+        keys, head_h, head_n, held = [], [], [], 0
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            rows, keys, owner, head_h, head_n = [], [], [], [], []
+            ids, texts, rows = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()], []
             for lo, hi in chunks(texts):
                 for doc, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi]), strict=True):
                     h = set_hash(s) if len(s) else np.int64(0)
                     rows.append((0, 0, doc, len(s), int(h), counts(s).tobytes()))
                     if len(s) and doc is not None and h not in seen:
                         seen.add(h)
-                        k = prefix(len(s))
-                        keys.append(s[:k])
-                        owner.append(np.full(k, len(head_h), dtype=np.uint32))
+                        keys.append(leading(s, frequent))
                         head_h.append(h)
                         head_n.append(len(s))
-            if keys:
-                key, own = np.concatenate(keys), np.concatenate(owner)
-                at = mix(key) % np.uint64(buckets)
-                order = np.lexsort((key, at))
-                key, own, at = key[order], own[order], at[order]
-                edge = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
-                head_h, head_n = np.array(head_h, dtype=np.int64), np.array(head_n, dtype=np.int64)
-                for k in range(buckets):
-                    if edge[k] < edge[k + 1]:
-                        used, local = np.unique(own[edge[k] : edge[k + 1]], return_inverse=True)
-                        rows.append((1, k, None, 0, 0, pack(key[edge[k] : edge[k + 1]], local.astype(np.uint32), head_h[used], head_n[used])))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, _SETS)
+                        held += len(keys[-1])
+                if held > PACKED:
+                    yield from packed(keys, head_h, head_n)
+                    keys, head_h, head_n, held = [], [], [], 0
+            yield batch(rows)
+        if keys:
+            yield from packed(keys, head_h, head_n)
+
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), _SETS)
 
 
 def _groups(batches):
-    """(gid, h, n) of the sets that share a prefix shingle; groups of the same members are given once."""
-    keys, hs, ns = [], [], []
+    """(gid, h, n) of the sets that share a prefix shingle; groups of the same members are given once a bin.  Batches come in order of their bins."""
+    held, at = [], None
     for b in batches:
-        for blob in b.column("payload").to_pylist():
-            key, local, head_h, head_n = unpack(blob, np.uint64, np.uint32, np.int64, np.int64)
-            keys.append(key)
-            hs.append(head_h[local])
-            ns.append(head_n[local])
+        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("payload"), strict=True):
+            if bucket != at:
+                yield from _bin(held)
+                held, at = [], bucket
+            held.append(unpack(blob.as_py(), np.uint64, np.uint32, np.int64, np.int64))
+    yield from _bin(held)
+
+
+def _bin(held):
+    keys, hs, ns = [x[0] for x in held], [x[2][x[1]] for x in held], [x[3][x[1]] for x in held]
     if not keys:
         return
     key, h, n = np.concatenate(keys), np.concatenate(hs), np.concatenate(ns)
@@ -334,13 +410,64 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array([order[label[i]] for i in rest], pa.int64()), pa.array([order[i] for i in rest], pa.int64())], ["u", "v"])
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
+def _compressed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and compressed text of the wanted documents and few others.
+
+    The wanted ids set bits in a filter of fixed size, which is broadcast; what
+    it lets through beyond them is left to the join that follows.
+    """
+
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([z.compress((t.as_py() or "").encode()) for t in b.column("text")], pa.binary())], ["doc_id", "z"])
+
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_WORDS * 64))
+    word, own = F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    bits = wanted.select("doc_id").withColumn("bit", bit).select(word, own.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    named = docs.where("doc_id is not null").select("doc_id", "text").withColumn("bit", bit).withColumn("word", word)
+    through = named.join(F.broadcast(bits), "word").where(F.col("mask").bitwiseAND(own) != 0)
+    return through.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, z binary")
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, z binary")
+
+def _verified(docs: DataFrame, maybe: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the components of verified links among (h, rep, n, root) of candidate components.
+
+    Documents of a component of bounded size meet once.  A larger one is cut into
+    chunks; each meets the component's PIVOTS, so that copies of one text are one
+    class after that.  Then documents outside the largest class meet all chunks.
+    """
+    parts = shuffle_partitions(docs.sparkSession)
+    sizes = maybe.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
+    many = F.greatest(F.ceil(F.col("total") / F.lit(SHINGLES // 2)), F.ceil(F.col("docs") / F.lit(POINTS)))
+    sizes = sizes.select("root", F.when((F.col("total") <= SHINGLES) & (F.col("docs") <= 2 * POINTS), F.lit(1)).otherwise(many).cast("long").alias("chunks"), "docs")
+    member = maybe.join(sizes.hint("merge"), "root").select("root", "h", F.col("rep").alias("doc_id"), "docs", "chunks", F.pmod(F.xxhash64("h"), F.col("chunks")).alias("chunk"))
+    member = scratch.put(member)
+    texts = scratch.put(_compressed(docs, member))
+
+    def links(met: DataFrame) -> DataFrame:
+        met = scratch.put(met.select("h", "doc_id", "gid"))
+        with_text = met.hint("merge").join(texts, "doc_id")
+        return scratch.put(with_text.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(frugal(_links), "u long, v long"))
+
+    large = member.where("chunks > 1")
+    some = F.pmod(F.xxhash64("h", F.lit(1)), F.ceil(F.col("docs") / F.lit(4 * PIVOTS))) == 0  # so many that PIVOTS are among them, at any size
+    least = large.where(some).groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "doc_id"))), 1, PIVOTS).alias("pivots"), F.max("chunks").alias("chunks"))
+    pivots = least.select("root", "chunks", F.explode("pivots").alias("p")).select("root", "p.h", "p.doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    met = member.select("root", "h", "doc_id", "chunk").unionByName(pivots.select("root", "h", "doc_id", "chunk")).withColumn("gid", F.xxhash64("root", "chunk"))
+    found = links(met)
+    if large.isEmpty():
+        return components(found, scratch)
+    label = components(found, scratch).withColumnRenamed("node", "h").withColumnRenamed("root", "label")
+    large = scratch.put(large.join(label.hint("merge"), "h", "left").withColumn("label", F.coalesce("label", "h")))
+    classes = large.groupBy("root", "label").agg(F.count("*").alias("n"))
+    top = classes.groupBy("root").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    top = top.select("root", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / F.lit(POINTS)).alias("others")).where("others > 0")
+    rest = large.join(top.hint("merge"), "root").withColumn("other", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("h", F.lit(2)), F.col("others"))))
+    around = rest.select("h", "doc_id", "root", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other"))
+    outside = rest.where("other is not null").select("h", "doc_id", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "other")
+    met = around.unionByName(outside).withColumn("gid", F.xxhash64("root", "chunk", "other", F.lit(3)))
+    return components(found.unionByName(links(met)), scratch)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -349,27 +476,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark)
-    read = scratch.put(_read(docs, parts), ("kind",))
+    bins = max(parts, min(BINS * parts, MOST_BINS))
+    read = scratch.put(_read(docs, bins, frequent_shingles(docs.where("doc_id is not null"))), ("kind",))
     rows = read.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h", F.col("payload").alias("vec"))
     known = rows.where("n_shingles > 0 and doc_id is not null")
     # A point for each set; a set's vector is the same in each of its rows.
     points = known.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    groups = read.where("kind = 1").select("bucket", "payload").repartition(parts, "bucket").mapInArrow(lambda bs: _groups(bs), "gid long, h long, n long")
+    groups = read.where("kind = 1").select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_groups), "gid long, h long, n long")
     groups = scratch.put(groups)
     # None of these sides has a bound, so none is broadcast, however small it looks.
     vectors = known.join(points.select("h", "rep").hint("merge"), "h").where("doc_id = rep").select("h", "vec").join(groups.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
     met = groups.join(vectors.hint("merge"), "h").repartition(parts, "gid").sortWithinPartitions("gid", "n", "h")
-    maybe = components(met.mapInArrow(lambda bs: _edges(bs), "u long, v long"), scratch)
-    # Candidate components: their documents meet again, whole or as pairs of blocks of bounded size.
-    maybe = scratch.put(maybe.withColumnRenamed("node", "h").join(points, "h"))
-    sizes = maybe.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
-    blocks = F.greatest(F.ceil(F.col("total") / F.lit(SHINGLES // 2)), F.ceil(F.col("docs") / F.lit(POINTS)))
-    sizes = sizes.select("root", F.when((F.col("total") <= SHINGLES) & (F.col("docs") <= 2 * POINTS), F.lit(1)).otherwise(blocks).cast("int").alias("blocks"))
-    member = maybe.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    met = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or mine <> other")
-    met = met.select("h", F.col("rep").alias("doc_id"), F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
-    met = met.hint("merge").join(_compressed(docs), "doc_id").repartition(parts, "gid").sortWithinPartitions("gid")
-    labels = components(met.mapInArrow(lambda bs: _links(bs), "u long, v long"), scratch)
+    maybe = components(met.mapInArrow(frugal(_edges), "u long, v long"), scratch)
+    # Candidate components: their documents meet again.
+    maybe = scratch.put(maybe.withColumnRenamed("node", "h").join(points.hint("merge"), "h"))
+    labels = _verified(docs, maybe, scratch)
     labelled = rows.select("doc_id", "n_shingles", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     lowest = labelled.where("n_shingles > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     whole = labelled.join(lowest, "root", "left")
@@ -385,19 +506,19 @@ def keep_one(docs: DataFrame, unnamed: bool = False) -> DataFrame:
     equal texts one stays.
     """
     scratch = Scratch(docs.sparkSession)
-    key = F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn("_key", key if unnamed else F.when(F.col("doc_id").isNotNull(), key))
-    linked = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).where("doc_id <> component_id")
-    linked = scratch.put(linked.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("root")).distinct())
-    linked = linked.unionByName(linked.select(F.col("root").alias("_key"), "root").distinct())
+    text = F.coalesce("text", F.lit(""))
+    key = F.xxhash64("doc_id", F.xxhash64(text))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", text.alias("text"), (key if unnamed else F.when(F.col("doc_id").isNotNull(), key)).alias("key"))
+    linked = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).where("doc_id <> component_id")
+    linked = scratch.put(linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct())
+    linked = linked.unionByName(linked.select(F.col("root").alias("key"), "root").distinct())
     # Keys are hashes, so the document that stays is found by what they stand for.
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
-    met = scratch.put(keyed.select("_key", order.alias("at")).join(linked.hint("merge"), "_key"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    met = scratch.put(keyed.select("key", order.alias("at")).join(linked.hint("merge"), "key"))
     least = met.groupBy("root").agg(F.min("at").alias("least"))
-    gone = met.join(least.hint("merge"), "root").where("at <> least").select("_key").distinct()
-    kept = keyed.join(gone.hint("merge"), "_key", "left_anti")
+    gone = met.join(least.hint("merge"), "root").where("at <> least").select("key").distinct()
+    kept = keyed.join(gone.hint("merge"), "key", "left_anti")
     if unnamed:
-        words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        alone = F.col("doc_id").isNull() & words
+        alone = F.col("doc_id").isNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
         kept = kept.where(~alone).unionByName(kept.where(alone).dropDuplicates(["text"]))
-    return kept.select(docs.columns)
+    return kept.select("row.*")
