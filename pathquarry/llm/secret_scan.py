@@ -3,11 +3,14 @@
 Every text is content-addressed by SHA-256.  The ledger holds the (blob, rule,
 version) triples scanned so far; a run scans each blob once, and only with
 rules whose version the ledger lacks for it.  Findings are kept by blob and
-joined back to every path that holds the blob.
-
-Null text counts as empty and has no findings.  Copies share one scan.  Empty
-tables give empty results.  Repeated rows give repeated rows.  Positions count
-code points, end exclusive.  Other columns are ignored.
+joined back to every path that holds the blob.  Texts under one path are its
+versions, all of them scanned.  A ledger kept under a lasting folder makes later
+runs read only what they have not seen; without one a run starts from nothing.
+
+Null text counts as empty and has no findings.  Copies share one scan.  Long
+texts are scanned whole.  Empty tables give empty results.  Repeated rows give
+repeated rows.  Positions count code points, end exclusive.  Other columns are
+ignored, or carried along where documents are returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,11 +128,10 @@ def findings_by_path(addressed: DataFrame, findings: DataFrame, rules: tuple[Rul
     return addressed.select("path", "blob").join(by_blob, "blob", "left")
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, over a new ledger."""
-    spark = docs.sparkSession
+def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; over a new ledger if none is given."""
     addressed = address(docs)
-    ledger = BlobLedger(spark, Scratch(spark).root)
+    ledger = ledger or BlobLedger(docs.sparkSession, Scratch(docs.sparkSession).root)
     ledger.scan(addressed)
     hits = findings_by_path(addressed, ledger.findings())
     spans = F.coalesce(F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["kind"], h["start"], h["end"])), ","), F.lit(""))
@@ -138,15 +140,14 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     return hits.select(F.col("path").alias("doc_id"), *[v.alias(f"n_{k}") for k, v in n.items()], spans.alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))
 
 
-def redact_documents(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
+def redact_documents(docs: DataFrame, mask: str = "[REDACTED]", ledger: BlobLedger | None = None) -> DataFrame:
     """The documents with every found span replaced by the mask; columns as before, n_chars follows the text."""
-    spark = docs.sparkSession
     addressed = address(docs)
-    ledger = BlobLedger(spark, Scratch(spark).root)
+    ledger = ledger or BlobLedger(docs.sparkSession, Scratch(docs.sparkSession).root)
     ledger.scan(addressed)
     hit = F.struct("start", "end")
     by_blob = ledger.findings().groupBy("blob").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    text = F.coalesce("text", F.lit(""))
+    text = F.col("row.text")
     # Spans of different kinds may overlap: keep what lies before a span and after all earlier ones.
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
@@ -154,8 +155,10 @@ def redact_documents(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
         lambda acc, h: F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.when(h["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (h["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = docs.withColumn("blob", F.sha2(text, 256)).join(by_blob.hint("merge"), "blob", "left").withColumn("text", F.when(F.col("hits").isNotNull(), cut).otherwise(F.col("text")))
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    joined = rows.join(by_blob.hint("merge"), "blob", "left").withColumn("masked", F.when(F.col("hits").isNotNull(), cut).otherwise(text))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _oracle(table: str = "documents") -> str:
