@@ -12,8 +12,9 @@ Null or empty html, or html without text: empty text.  Broken markup is read
 leniently: unclosed elements end with their parent, and furniture that was
 never closed ends where an article or main element begins; only script, style,
 textarea and title are raw text and read on to the end of the page.  Formulas
-are text.  Repeated rows give repeated rows; columns other than page_id, url and
-html are ignored.
+are text.  Long pages are read whole.  Repeated rows give repeated rows; an empty
+table gives an empty result; columns other than page_id, url and html are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import frugal, small_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 #: Lines in a sliding window, and the share of the largest window sum at which text surges.
@@ -57,6 +58,8 @@ CONTAINERS = frozenset("article aside center details dialog div dl fieldset figu
 GROUPS = frozenset("article div form main section td".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: The slash that ends an element where it begins, and not a value without quotes.
+_EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 
 #: How an element is furniture: not at all, unless it holds most of the page, always.
 NO, MAYBE, YES = 0, 1, 2
@@ -156,6 +159,7 @@ def lines_of(page: str) -> list[Line]:
                 leave(tag)
             continue
         attributes = m[3] or m[6] or ""
+        empty = _EMPTY.search(attributes) is not None
         if tag not in HEAD and any(x[0] == "head" for x in stack) and not any(x[0] == "template" for x in stack):
             leave("head")
         if tag in BLOCKS and any(x[0] == "svg" for x in stack) and not any(x[0] == "foreignobject" for x in stack):
@@ -164,11 +168,11 @@ def lines_of(page: str) -> list[Line]:
             close_line()
         elif tag == "br":
             parts.append("\n")
-        if tag in RAW and not attributes.endswith("/"):
+        if tag in RAW and not empty:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or empty:
             continue
         if tag in ("article", "main") and not any(x[2] or x[0] in ("template", "noscript", "iframe", "object") for x in stack):
             while any(x[1] or x[0] in EMBEDDED for x in stack):
@@ -232,4 +236,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url", "html").mapInArrow(frugal(run), SCHEMA)
