@@ -3,33 +3,38 @@
 Each word enters as the sum of a word vector and the mean of the vectors of its
 character trigrams.  A forward and a backward gated recurrent network read a
 window of words, attention pools their states and a logistic output scores the
-window.  A document is scored on all its overlapping windows and takes the
-largest, calibrated to a probability.  Everything is numpy; training holds the
-label to the best window of each document, chosen anew every round.
-
-Labels are learnt from a bounded sample of the rows that are not held out
-(TOXIC and CLEAN documents at most, by hash of the id).  Words come from the
-lower-cased text alone.  Null or empty text: the score of a window without
-words.  No labels, or labels of one kind: every score is that kind's share
-(0 without labels).  Repeated rows give repeated rows; repeated labels count
-once, as toxic if any is; a null doc_id is not held out.
+window.  A document is scored on all its overlapping windows, which begin every
+STEP words, and takes the largest, calibrated to a probability.  Everything is
+numpy; training holds the label to the best window of each document, chosen anew
+every round.
+
+Labels are learnt from a bounded sample of the rows that are not held out:
+TOXIC and CLEAN documents, by hash of the id, and of each kind as many in that
+order as hold SAMPLE_BYTES.  Words come from the lower-cased text alone.  Null
+or empty text: the score of a window without words.  No labels, or labels of one
+kind: every score is that kind's share (0 without labels).  Long texts are
+scored in all their windows.  Empty tables give empty results.  Repeated rows
+give repeated rows; repeated labels count once, as toxic if any is, and so do
+repeated documents (of several texts under an id, the least is learnt from); a
+null doc_id is not held out.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._blobs import spans
+from ._common import Scratch, frugal, small_batches
 
 #: Sample bounds, window length and step, state sizes, training rounds.
-TOXIC, CLEAN = 1000, 2000
-WINDOW, STEP = 48, 32
+TOXIC, CLEAN, SAMPLE_BYTES = 1000, 2000, 8_000_000
+WINDOW, STEP = 48, 24
 HIDDEN, ATTEND, WIDTH = 8, 8, 12
 ROUNDS, PASSES, BATCH, RATE = 3, 2, 128, 0.01
 VOCABULARY, TRIGRAMS = 20_000, 8_192
@@ -42,10 +47,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-@functools.lru_cache(1 << 18)
-def trigrams(word: bytes) -> tuple[int, ...]:
-    w = b"<" + word + b">"
-    return tuple([zlib.crc32(w[i : i + 3]) % TRIGRAMS for i in range(len(w) - 2)])
+#: crc32 of three bytes is the exclusive or of one entry for each and that of three zeros.
+_ZERO = zlib.crc32(bytes(3))
+_CRC = np.array([[zlib.crc32(bytes([c if k == j else 0 for k in range(3)])) ^ _ZERO for c in range(256)] for j in range(3)], dtype=np.uint32)
+
+
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character trigrams of all <word>, one word after the other, and their number for each word (its length)."""
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    data = np.frombuffer(b"<" + b"><".join(words) + b">", dtype=np.uint8)
+    at = spans(np.cumsum(n + 2) - n - 2, n)
+    return ((_CRC[0][data[at]] ^ _CRC[1][data[at + 1]] ^ _CRC[2][data[at + 2]] ^ np.uint32(_ZERO)) % TRIGRAMS).astype(np.int64), n
 
 
 class Network:
@@ -62,10 +74,9 @@ class Network:
 
     # -- input: words to rows of the projection that both directions read -------------------------------------------
     def embed(self, words: list[bytes]):
-        grams = [trigrams(w) for w in words]
-        n = np.array([len(g) for g in grams], dtype=np.int64)
-        flat = np.fromiter((t for g in grams for t in g), dtype=np.int64, count=int(n.sum()))
-        rows = np.array([self.vocabulary.get(w, 0) for w in words], dtype=np.int64)
+        flat, n = trigrams(words)
+        get = self.vocabulary.get
+        rows = np.fromiter([get(w, 0) for w in words], dtype=np.int64, count=len(words))
         chars = np.zeros((len(words), WIDTH), np.float32)
         if len(words):
             chars = np.add.reduceat(self.p["chars"][flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
@@ -144,21 +155,15 @@ class Network:
         return _sigmoid(self.slope * logit + self.shift)
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """Overlapping windows that cover n words; one empty window for none."""
-    return [(at, min(n, at + WINDOW)) for at in range(0, max(1, n - (WINDOW - STEP)), STEP)]
-
-
 def indexed(lengths: list[int]):
     """Word index of each window of documents laid end to end, and the first window of each document."""
-    spans, first, at = [], [], 0
-    for n in lengths:
-        first.append(len(spans))
-        spans += [(at + a, at + b) for a, b in windows(n)]
-        at += n
-    lo, hi = np.array(spans, dtype=np.int64).reshape(-1, 2).T
+    size = np.array(lengths, dtype=np.int64)
+    many = np.maximum(1, -(-(size - (WINDOW - STEP)) // STEP))
+    first = np.cumsum(many) - many
+    begin = np.cumsum(size) - size
+    lo = np.repeat(begin, many) + spans(np.zeros(len(many), dtype=np.int64), many) * STEP
     index = lo[:, None] + np.arange(WINDOW)
-    return np.where(index < hi[:, None], index, -1), np.array(first, dtype=np.int64)
+    return np.where(index < np.repeat(begin + size, many)[:, None], index, -1), first
 
 
 def train(texts: list[str], toxic: list[int], share: float) -> Network:
@@ -171,8 +176,7 @@ def train(texts: list[str], toxic: list[int], share: float) -> Network:
         own = set(words)
         for w in own:
             seen.setdefault(w, np.zeros(2))[label] += 1
-        for t in {t for w in own for t in trigrams(w)}:
-            grams[label, t] += 1
+        grams[label, np.unique(trigrams(list(own))[0])] += 1
     common = sorted((w for w, n in seen.items() if n.sum() >= 3), key=lambda w: (-seen[w].sum(), w))[:VOCABULARY]
     net = Network({w: i + 1 for i, w in enumerate(common)})
     # The first coordinate starts as the log ratio of how often toxic and clean documents hold the word or trigram.
@@ -259,13 +263,13 @@ class Scorer:
         docs = [t.encode().lower().split() for t in texts]
         if len(self.place) > self.LIMIT:
             self._reset()
-        new = sorted({w for d in docs for w in d if w not in self.place})
+        new = sorted(set().union(*docs) - self.place.keys())
         if new:
             size = len(self.place)
             self.place |= {w: size + i for i, w in enumerate(new)}
             added = self.net.project(self.net.embed(new)[0])
             self.tables = [np.concatenate([t[:size], a]).astype(np.float32) for t, a in zip(self.tables, added, strict=True)]
-        flat = np.array([self.place[w] for d in docs for w in d], dtype=np.int64)
+        flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(docs)), dtype=np.int64, count=sum(map(len, docs)))
         index, first = indexed([len(d) for d in docs])
         logits = []
         for i in range(0, len(index), 4096):
@@ -289,8 +293,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(CLEAN))
     # TOXIC + CLEAN rows at most, so it is safe to broadcast; the driver trains on those documents.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    sample = sorted({r.doc_id: (r.doc_id, r.text or "", int(r.toxic)) for r in sample}.values())
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = Scratch(docs.sparkSession).put(found)
+    so_far = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fit_in = found.select("doc_id", "toxic", F.octet_length("text").cast("long").alias("n")).withColumn("bytes", F.sum("n").over(so_far)).where(F.col("bytes") <= SAMPLE_BYTES)
+    sample = sorted((r.doc_id, r.text, int(r.toxic)) for r in found.join(F.broadcast(fit_in.select("doc_id")), "doc_id").select("doc_id", "text", "toxic").collect())
     if len({t for _, _, t in sample}) < 2:
         return share
     return train([t for _, t, _ in sample], [y for _, _, y in sample], share)
@@ -312,9 +319,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 while end < len(texts) and (end == at or size < 2_000_000):
                     size += len(texts[end])
                     end += 1
-                scores += scorer.score(texts[at:end]).tolist() if scorer else [net] * (end - at)
+                scores += np.round(scorer.score(texts[at:end]).astype(np.float64), 6).tolist() if scorer else [net] * (end - at)
                 at = end
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
