@@ -21,8 +21,8 @@ def jaccard_join() -> str:
 
 
 def quality_rules() -> str:
-    risk, rules = q.ALPHA / len(q.RULES), list(q.RULES)
-    cuts = " UNION ALL ".join(f"SELECT '{r}' AS rule, {k} AS k, CAST({c} AS DOUBLE) AS cut" for r, cs in q.RULES.items() for k, c in enumerate(cs))
+    rules = list(q.RULES)
+    cuts = " UNION ALL ".join(f"SELECT '{r}' AS rule, {k} AS k, CAST({c} AS DOUBLE) AS cut, CAST({q.RISK[r]} AS DOUBLE) AS risk" for r, cs in q.RULES.items() for k, c in enumerate(cs))
     values = ", ".join(f"('{r}', {r})" for r in rules)
     return rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
     w AS (SELECT *, {_WORDS.format(text='text')} AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -33,9 +33,10 @@ def quality_rules() -> str:
       length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper FROM w LEFT JOIN rep USING (doc_id)),
     f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
       n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS chars_per_word, n_upper / greatest(word_chars, 1) AS upper_share FROM c),
-    good AS (SELECT f.* FROM f JOIN labels l ON f.doc_id = l.doc_id AND l.quality = 1 WHERE NOT base_failed),
-    t AS (SELECT stratum, v.rule, k, cut, count(*) AS n, count(*) FILTER (v.x >= cut) AS hits FROM good, LATERAL (VALUES {values}) v(rule, x) JOIN ({cuts}) u ON u.rule = v.rule GROUP BY ALL),
-    p AS (SELECT *, CASE WHEN hits > n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, hits + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) END
+    named AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+    good AS (SELECT f.* FROM f JOIN named USING (doc_id) WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stratum, {', '.join(rules)}) = 1),
+    t AS (SELECT stratum, v.rule, k, cut, risk, count(*) AS n, count(*) FILTER (v.x >= cut) AS hits FROM good, LATERAL (VALUES {values}) v(rule, x) JOIN ({cuts}) u ON u.rule = v.rule GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN hits > n * risk THEN 1.0 ELSE list_sum(list_transform(range(0, hits + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(risk) + (n - j) * ln(1 - risk)))) END
       <= {q.DELTA} / ({len(rules)} * (SELECT count(DISTINCT stratum) FROM good)) AS passed FROM t),
     z AS (SELECT stratum, rule, min(cut) AS cut FROM (SELECT *, min(CASE WHEN passed THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY k) AS still FROM p) WHERE still = 1 GROUP BY ALL),
     bad AS (SELECT DISTINCT f.doc_id FROM f, LATERAL (VALUES {values}) v(rule, x) JOIN z ON z.rule = v.rule WHERE z.stratum = f.stratum AND v.x >= z.cut)

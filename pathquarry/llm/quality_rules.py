@@ -5,14 +5,21 @@ Each rule rejects a document whose feature reaches a cutoff.  For each stratum
 the exact binomial tail P(Bin(n, risk) <= k) of its k rejections among n good
 labelled documents is at most the test's level, and the first failure ends the
 sequence, so its tests need no correction among themselves.  Levels are divided
-by the number of sequences (strata times rules), the risk by the number of
-rules: with confidence 1 - delta, in every stratum at most `alpha` of good
-documents are rejected by the certified cutoffs.  Too few labels certify
-nothing, and then only the base rules reject.
+by the number of sequences (strata times rules), and each rule has its part of
+the risk: with confidence 1 - delta, in every stratum at most the sum of the
+parts, ALPHA, of good documents are rejected by the certified cutoffs.  The
+parts are unequal: rules for what good text has none of can be certified on some
+300 documents a stratum, rules for what it has a little of get small parts.  Too
+few labels certify nothing, and then only the base rules reject.
 
 Null text: no words, so the base rules reject it.  Null language is a stratum
 of its own.  Rows without a label, and labels without a row, take no part in
-calibration; of repeated labels each counts.  Repeated rows give repeated rows.
+calibration; a labelled document counts once, however often its row or its label
+is repeated, and as good only if all its labels say so (of several texts under
+its id the one with the least features counts).  Long texts are judged whole.
+Repeated rows give repeated rows.  Empty tables give empty results.  Other
+columns are ignored, or carried along where documents are returned, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch
 
-ALPHA, DELTA = 0.01, 0.05
+DELTA = 0.05
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -31,9 +38,12 @@ RULES = {
     "symbols_per_word": (5.0, 3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05),
     "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05),
     "repeat_share": (0.28, 0.25, 0.22, 0.2, 0.17, 0.15, 0.12, 0.1, 0.08, 0.05, 0.03),
-    "chars_per_word": (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0),
+    "chars_per_word": (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0),
     "upper_share": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
 }
+#: Each rule's part of the risk.
+RISK = {"symbols_per_word": 0.02, "dup_line_share": 0.004, "repeat_share": 0.004, "chars_per_word": 0.02, "upper_share": 0.002}
+ALPHA = sum(RISK.values())
 
 
 def features(docs: DataFrame, *carried: str) -> DataFrame:
@@ -84,18 +94,19 @@ def binomial_tail(n, k, p: float):
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), k), first, step, lambda acc: acc["sum"]))
 
 
-def certify(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def certify(feats: DataFrame, labels: DataFrame, risk: dict[str, float] = RISK, delta: float = DELTA) -> DataFrame:
     """One row for each stratum: stratum, and a certified cutoff for each rule (null: none)."""
     stratum = F.coalesce("lang", F.lit("")).alias("stratum")
-    good = feats.where(~F.col("base_failed")).join(labels.where("quality = 1").select("doc_id"), "doc_id").select(stratum, *RULES)
+    named = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    good = feats.where(~F.col("base_failed")).join(named, "doc_id").groupBy("doc_id").agg(F.min(F.struct(stratum, *RULES)).alias("one")).select("one.*")
     sums = {f"{r}__{k}": F.sum((F.col(r) >= c).cast("long")).alias(f"{r}__{k}") for r, cuts in RULES.items() for k, c in enumerate(cuts)}
     counted = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums.values())
     m = counted.agg(F.count("*").alias("strata"))  # one row
     tested = counted.crossJoin(F.broadcast(m))
-    level, risk = F.lit(delta) / (F.col("strata") * len(RULES)), alpha / len(RULES)
+    level = F.lit(delta) / (F.col("strata") * len(RULES))
 
     def cutoff(rule: str):
-        passed = F.array(*[binomial_tail(F.col("n"), F.col(f"{rule}__{k}"), risk) <= level for k in range(len(RULES[rule]))])
+        passed = F.array(*[binomial_tail(F.col("n"), F.col(f"{rule}__{k}"), risk[rule]) <= level for k in range(len(RULES[rule]))])
         stop = F.array_position(passed, False)  # 1-based; 0: none failed
         last = F.when(stop == 0, F.lit(len(RULES[rule]))).otherwise(stop - 1).cast("int")
         return F.when(last > 0, F.element_at(F.array(*map(F.lit, RULES[rule])), F.greatest(last, F.lit(1))))
