@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ._bpe import Memo, PairBpe, byte_vocabulary
-from ._common import small_batches
+from ._common import frugal, small_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _AWKWARD = re.compile(r" \s|\s |[\x1c-\x1f\x85]")
@@ -78,7 +78,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             ids = [own.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, ids binary, decoded binary")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -97,4 +97,4 @@ def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 out_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), SCHEMA)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._bpe import Memo, as_word, word_end_vocabulary
-from ._common import small_batches
+from ._common import frugal, small_batches
 
 _automata: dict[str, LongestMatch] = {}
 
@@ -92,4 +92,4 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             words = [(t or "").encode().lower().split() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(map(len, words), pa.int64()), pa.array([sum(map(known.__getitem__, w)) for w in words], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_words long, n_tokens long")

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pathquarry.llm import _bpe as bpe
@@ -158,6 +159,46 @@ def test_ledger_scans_each_blob_once(spark):
     assert {r.path: len(r.hits or []) for r in hits} == {1: len(spans(SECRETS[0])), 2: len(spans(SECRETS[0])), 3: 0, 4: len(spans(SECRETS[0])), 5: 1}
 
 
+def test_lasting_ledger(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/ledger"
+    rows = [(1, SECRETS[0]), (1, SECRETS[4]), (2, "plain text")]  # two versions under path 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = secret_scan.scan_documents(docs, secret_scan.BlobLedger(spark, root)).collect()
+    assert Counter((r.doc_id, r.spans) for r in first) == Counter((i, ",".join(spans(t))) for i, t in rows)
+    rows += [(3, SECRETS[3]), (4, SECRETS[0]), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger, scanned = secret_scan.BlobLedger(spark, root), []
+    own = ledger.scan
+    monkeypatch.setattr(ledger, "scan", lambda a: scanned.append(own(a).count()))
+    again = secret_scan.scan_documents(docs, ledger).collect()
+    assert scanned == [2]  # the text of path 3, and the empty one
+    assert Counter((r.doc_id, r.spans) for r in again) == Counter((i, ",".join(spans(t))) for i, t in rows)
+
+
+def test_redaction_keeps_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, SECRETS[1], "b", 1, "x", "p"), (2, None, "c", 2, "y", "q")], "doc_id long, text string, blob string, hits int, row string, path string")
+    out = secret_scan.redact_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, secret_scan_redacted(SECRETS[1]), "b", 1, "x", "p"), (2, None, "c", 2, "y", "q")]
+    scanned = secret_scan.scan_documents(docs).collect()
+    assert {r.doc_id: r.spans for r in scanned} == {1: ",".join(spans(SECRETS[1])), 2: ""}
+
+
+def test_secrets_in_a_very_long_text(spark):
+    text = "plain words " * 200_000 + SECRETS[4] + " tail " * 100_000 + SECRETS[0]
+    found = secret_scan.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert found[0].spans == ",".join(spans(text))
+
+
+def secret_scan_redacted(text):
+    out, at = "", 0
+    for a, b in sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in spans(text)):
+        if a >= at:
+            out += text[at:a] + "[REDACTED]"
+        at = max(at, b)
+    return out + text[at:]
+
+
 def plain_counts(text):
     text = text or ""
     w, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -198,6 +239,32 @@ def test_thresholds_follow_labels(spark):
     assert all(found[i] for i in range(12_000)) and not any(found[20_000 + i] for i in range(5))
 
 
+def test_small_strata_and_repeated_labels(spark):
+    good = [(i, " ".join(f"w{j}" for j in range(i, i + 30)), "es") for i in range(320)]
+    junk = [(900 + i, " ".join(f"w{j}###" for j in range(30 + i)), "es") for i in range(5)]
+    df = spark.createDataFrame(good + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in good], "doc_id long, quality int")
+    assert {r.doc_id for r in quality_rules.judge(df, labels).collect() if r.kept} == set(range(320))
+    # Thirty documents certify nothing, however often they and their labels are repeated.
+    few = df.where("doc_id < 30 or doc_id >= 900")
+    many = few.unionByName(few.where("doc_id < 30").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("k"))
+    assert {r.doc_id for r in quality_rules.judge(many, labels.where("doc_id < 30").unionByName(labels.where("doc_id < 30"))).collect() if r.kept} == set(range(30)) | set(range(900, 905))
+    # A document that one of its labels calls bad is not good.
+    mixed = labels.unionByName(labels.withColumn("quality", F.lit(0)))
+    assert {r.doc_id for r in quality_rules.judge(df, mixed).collect() if r.kept} == set(range(320)) | set(range(900, 905))
+
+
+def test_rules_keep_columns_that_clash(spark):
+    text = " ".join(f"w{j}" for j in range(30))
+    schema = "doc_id long, text string, lang string, row string, words int, n_words string, stratum int, kept boolean, cut_dup_line_share int"
+    docs = spark.createDataFrame([(1, text, "en", "r", 1, "n", 2, False, 3), (None, text, None, "s", 4, "o", 5, None, 6), (2, "short", "en", "t", 7, "p", 8, True, 9)], schema)
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, stratum string")
+    kept = quality_rules.keep_documents(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text, "en", "r", 1, "n", 2, False, 3), (None, text, None, "s", 4, "o", 5, None, 6)], key=str)
+    assert {(r.doc_id, r.kept) for r in quality_rules.judge(docs, labels).collect()} == {(1, True), (None, True), (2, False)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((700, 24))
