@@ -58,8 +58,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("action", choices=["add", "list", "rm"])
     p.add_argument("names", nargs="*")
     p = commands.add_parser("config")
-    p.add_argument("action", choices=["list", "engine"])
+    p.add_argument("action", choices=["list", "set", "engine"])
     p.add_argument("value", nargs="?")
+    p.add_argument("file", nargs="?")
     commands.add_parser("init")
     commands.add_parser("doctor")
     return top
@@ -109,7 +110,7 @@ def run(argv: list[str]) -> int:
     from .sources.snapshot import Store
 
     args = parser().parse_args(with_command(argv))
-    path = configs.discover(args.config)
+    path = configs.discover(args.config, role="updatedb" if args.command in ("updatedb", "index") else "locate")
     if args.command == "init":
         target = path or os.path.expanduser("~/.config/pathquarry/config.toml")
         if os.path.exists(target):
@@ -119,6 +120,15 @@ def run(argv: list[str]) -> int:
             file.write(EXAMPLE)
         print(target)
         return 0
+    if args.command == "config" and args.action == "set":
+        if not args.value or not args.file:
+            raise ValueError("config set needs a role and a file")
+        print(configs.save(args.value, args.file))
+        return 0
+    if args.command == "config" and args.action == "list":
+        for role in ("locate", "updatedb"):
+            print(f"{role}: {configs.discover(args.config, role=role) or 'none'}")
+        return 0
     if path is None:
         raise FileNotFoundError("there is no configuration; `init` writes an example")
     if args.command == "ignore":
@@ -130,8 +140,7 @@ def run(argv: list[str]) -> int:
     if args.command == "config":
         if args.action == "engine" and args.value:
             set_engine(path, args.value)
-        config = configs.load(path)
-        print(config.engine or "rust" if args.action == "engine" else path)
+        print(configs.load(path).engine or "rust")
         return 0
     config = configs.load(path)
     if args.command in ("locate", "search"):

@@ -6,6 +6,12 @@ import json
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def json_rows(paths: DataFrame) -> DataFrame:
+    """json: an object for each path, as write_paths gives it; bytes that are no UTF-8 are replaced."""
+    return paths.select(F.to_json(F.struct(F.make_valid_utf8(F.col("path").cast("string")).alias("path"))).alias("json"))
 
 
 def write_paths(paths: DataFrame, out: BinaryIO, null: bool = False, as_json: bool = False) -> int:

@@ -126,11 +126,14 @@ def refresh(store: Store, scopes: tuple[str, ...] = (), jobs: int = 8) -> Refres
     rules, scratch = Rules(root, index.filters, _own(store)), _Scratch(store)
     try:
         entries, directories = store.entries(before).select("rel_dir", "name", "is_dir"), store.directories(before)
-        pruned = False
+        pruned, parents = False, None
         if not same_rules:
-            n = before.entry_count
+            n, stored = before.entry_count, entries
             entries, directories = prune(entries, directories, root, rules)
             pruned = entries.count() != n
+            if pruned:  # directories that list what is left out now are read again
+                lost = stored.where("is_dir and length(name) > 0").join(entries.where("is_dir"), ["rel_dir", "name"], "left_anti")
+                parents = lost.select(F.col("rel_dir").alias("rel_path")).distinct().join(directories.select("rel_path"), "rel_path", "left_semi").withColumn("listed", F.lit(True))
         inside = F.lit(True)
         if scopes:
             top = resolve(root)
@@ -148,6 +151,9 @@ def refresh(store: Store, scopes: tuple[str, ...] = (), jobs: int = 8) -> Refres
             if b"" not in rels:
                 inside = reduce(lambda a, b: a | b, [under(view("rel_path"), r, plain=True) for r in rels])
         states = scratch(directories.where(inside).repartition(jobs).mapInArrow(_stamps(root), DIRECTORIES + ", state string"))
+        if parents is not None:
+            again = F.when((F.col("state") == "same") & F.col("listed"), "changed").otherwise(F.col("state"))
+            states = scratch(states.join(parents, "rel_path", "left").withColumn("state", again).drop("listed"))
         if states.where("state = 'gone' and length(rel_path) = 0").first():
             raise SnapshotError(f"root {root} is missing")
         changed = states.where("state = 'changed'").select("rel_path")
@@ -201,6 +207,7 @@ def update(spark: SparkSession, config: Config, names: tuple[str, ...] = (), fol
             if missing_only and store.manifest() is not None:
                 continue
             with store.lock():
+                store.sweep()
                 reports[x.name] = refresh(store, tuple(wanted[x.name]), jobs)
     return reports
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import as_view, fold, folded, view
 from ..options import SearchOptions
 from ..plans import patterns
-from ..plans.anchors import anchors
+from ..plans.anchors import anchors, required_trigrams
 from ..plans.compile import name_filter, predicate
 from ..plans.syntax import parse
 from ..sources.config import Config, IndexConfig
@@ -56,7 +56,9 @@ def matches(catalog: DataFrame, options: SearchOptions, indexes: tuple[IndexConf
 
 
 def page(found: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """In order of branch, index and entry; with a limit Spark keeps only that many rows of each task."""
+    """A slice of the rows in order of branch, index and entry; with a limit Spark keeps only that many rows of each task.  All rows need no order."""
+    if not offset and limit is None:
+        return found
     ordered = found.orderBy("branch", "index_ord", "entry_id")
     ordered = ordered.offset(offset) if offset else ordered
     return ordered.limit(limit) if limit is not None else ordered
@@ -66,13 +68,18 @@ def search_catalog(catalog: DataFrame, options: SearchOptions, indexes: tuple[In
     return page(matches(catalog, options, indexes), options.offset, options.limit).select("path")
 
 
-def catalogs(spark: SparkSession, config: Config, names: tuple[str, ...] = ()) -> tuple[DataFrame, tuple[IndexConfig, ...]]:
+def name_grams(options: SearchOptions) -> set[str]:
+    """Trigrams that the names of all matches hold."""
+    return set() if options.regex else required_trigrams(parse(list(options.patterns), options.case_sensitive, options.whole_path), by_name=True)
+
+
+def catalogs(spark: SparkSession, config: Config, names: tuple[str, ...] = (), grams: set[str] = frozenset()) -> tuple[DataFrame, tuple[IndexConfig, ...]]:
     chosen = config.select(names)
     order = {x.name: k for k, x in enumerate(config.indexes)}
-    return union([Store(spark, x).catalog(order[x.name]) for x in chosen]), chosen
+    return union([Store(spark, x).catalog(order[x.name], grams) for x in chosen]), chosen
 
 
 def search(spark: SparkSession, config: Config, options: SearchOptions) -> DataFrame:
-    """The paths that match, BINARY, in order."""
-    catalog, chosen = catalogs(spark, config.for_search(), options.indexes)
+    """The paths that match, BINARY; in order if there is an offset or a limit."""
+    catalog, chosen = catalogs(spark, config.for_search(), options.indexes, name_grams(options))
     return search_catalog(catalog, options, chosen)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, comparable, is_root, parent, raw, resolve_user, view
 from ..options import StatsOptions
 from ..sources.config import Config
-from ..sources.snapshot import Store
+from ..sources.snapshot import Files, SnapshotError, Store
 from . import filters
 from .search import union
 
@@ -63,8 +64,19 @@ def total(paths: DataFrame, counts: DataFrame, scope: bytes | None = None, disti
 
 
 def from_snapshot(store: Store, index_ord: int = 0) -> DataFrame:
-    """Counts of one index from the directories of its entries, without building a path for each."""
-    rows = store.entries(store.required())
+    """Counts of one index from the directories of its entries, without building a path for each.
+
+    Entries that lie in no directory of the snapshot, or a number of entries that
+    is not the one it was published with, are errors.
+    """
+    manifest = store.required()
+    rows = store.entries(manifest)
+    held, homes = rows.count(), rows.where(F.length("name") > 0).select("rel_dir").distinct()
+    if held != manifest.entry_count:
+        raise SnapshotError(f"{store.path} holds {held} entries, not {manifest.entry_count}")
+    stray = homes.join(store.directories(manifest).select(F.col("rel_path").alias("rel_dir")), "rel_dir", "left_anti").first()
+    if stray:
+        raise SnapshotError(f"{store.path} has entries in {bytes(stray.rel_dir)!r}, which it does not list")
     root = store.index.root.rstrip("/") or "/"
     per = rows.where(F.length("name") > 0).groupBy("rel_dir").agg(F.count("*").alias("direct"))
     stem = "" if root == "/" else root
@@ -76,27 +88,37 @@ def from_snapshot(store: Store, index_ord: int = 0) -> DataFrame:
 
 
 class Cache:
-    """Counts kept by selection, valid for the snapshots and filters they were made from."""
+    """Counts kept by selection (names of indexes), valid for the snapshots and filters they were made from."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def get(self, selection: str, fingerprint: str, make) -> DataFrame:
-        import hashlib
+    @staticmethod
+    def _short(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()[:16]
 
-        from ..sources.snapshot import Files
-
-        files = Files(self.spark)
-        at = f"{self.path}/{hashlib.sha256(selection.encode()).hexdigest()[:16]}"
-        known = files.read(f"{at}/KEY") if files.exists(f"{at}/KEY") else None
-        name = hashlib.sha256(fingerprint.encode()).hexdigest()[:16]
-        if known != name:
+    def get(self, selection: list[str], fingerprint: str, make) -> DataFrame:
+        files, at = Files(self.spark), f"{self.path}/{self._short(json.dumps(selection))}"
+        known = json.loads(files.read(f"{at}/KEY")) if files.exists(f"{at}/KEY") else None
+        name = self._short(fingerprint)
+        if known is None or known["counts"] != name:
             make().write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/{name}")
-            files.write(f"{at}/KEY", name)
-            if known:
-                files.delete(f"{at}/{known}")
+            files.write(f"{at}/KEY", json.dumps({"selection": selection, "counts": name}))
+            for old in files.names(at):
+                if old not in (name, "KEY"):
+                    files.delete(f"{at}/{old}")
         return self.spark.read.parquet(f"{at}/{name}")
 
+    def purge(self, names: set[str]) -> int:
+        """Remove counts of selections with an index that is not among the names, and what has no key; how many."""
+        files, gone = Files(self.spark), 0
+        for at in files.names(self.path):
+            key = f"{self.path}/{at}/KEY"
+            if not files.exists(key) or not names.issuperset(json.loads(files.read(key))["selection"]):
+                files.delete(f"{self.path}/{at}")
+                gone += 1
+        return gone
+
 
 def stats(spark: SparkSession, config: Config, options: StatsOptions = StatsOptions(), cache: str | None = None) -> tuple[DataFrame, int]:
     """Ranked directories and the total.  The ignore list does not apply."""
@@ -118,7 +140,12 @@ def stats(spark: SparkSession, config: Config, options: StatsOptions = StatsOpti
 
     fingerprint = lambda: json.dumps([[x.name, x.root, repr(x.filters), s.required().snapshot] for x, s in zip(chosen, stores, strict=True)] + [again])
     before = fingerprint()
-    counts = Cache(spark, cache).get(json.dumps([x.name for x in chosen]), before, make) if cache else make()
+    if cache:
+        kept = Cache(spark, cache)
+        counts = kept.get([x.name for x in chosen], before, make)
+        kept.purge({x.name for x in config.indexes})
+    else:
+        counts = make()
     found = ranked(counts, scope, options.recursive, options.limit), total(paths, counts, scope, distinct)
     if fingerprint() != before:
         raise RuntimeError("an index changed while its statistics were read")

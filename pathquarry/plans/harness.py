@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, basename, extension, fold, last_suffix, parent, raw, trigram_key, trigrams, under, view
-from ..operators import filters, postings, refresh, stats
-from ..operators.search import matches, search_catalog, union
+from ..operators import filters, output, postings, refresh, stats
+from ..operators.search import matches, name_grams, search_catalog, union
 from ..options import SearchOptions
-from ..sources.config import Filters, IndexConfig
+from ..sources.config import Config, Filters, IndexConfig
+from ..sources.snapshot import Store
 
 KINDS, SUFFIXES = ("soil", "Rain", "ERA5", "report"), (".nc", ".TIF", ".csv", ".tar.gz", "")
 
@@ -99,7 +102,58 @@ def page_offset_limit(spark, sf_dir):
 
 
 def index_select(spark, sf_dir):
-    return _text(matches(_two(spark, sf_dir).where("index_name = 'b'"), SearchOptions(("soil",))))
+    config = Config((IndexConfig("a", "/data", "/x/a"), IndexConfig("b", "/data", "/x/b")))
+    chosen = [x.name for x in config.select(("b", "b"))]
+    return _text(matches(_two(spark, sf_dir).where(F.col("index_name").isin(chosen)), SearchOptions(("soil",))))
+
+
+def json_rows(spark, sf_dir):
+    found = matches(catalog(spark, sf_dir), SearchOptions(("rain",)))
+    return output.json_rows(found).select(F.get_json_object("json", "$.path").alias("path"))
+
+
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """The derived paths as a published snapshot, once for each session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = f"file://{tempfile.mkdtemp(prefix='pathquarry-')}"
+        store = Store(spark, IndexConfig("docs", "/data", f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"))
+        p = view("path")
+        files = catalog(spark, sf_dir).select(F.substring_index(F.substring(p, F.lit(7), F.length(p)), "/", 2).alias("rel"), view("name").alias("name"))
+        dirs = files.select(F.explode(F.array(F.struct(F.lit("").alias("rel"), F.substring_index("rel", "/", 1).alias("name")), F.struct(F.substring_index("rel", "/", 1).alias("rel"), F.substring_index("rel", "/", -1).alias("name")))).alias("x")).select("x.*").distinct()
+        top = spark.range(1).select(F.lit("").alias("rel"), F.lit("").alias("name"))
+        entries = files.withColumn("is_dir", F.lit(False)).unionByName(dirs.unionByName(top).withColumn("is_dir", F.lit(True)))
+        known = dirs.select(F.when(F.col("rel") == "", F.col("name")).otherwise(F.concat_ws("/", "rel", "name")).alias("rel_path")).unionByName(top.select(F.col("rel").alias("rel_path")))
+        store.publish(entries.select(raw(F.col("rel")).alias("rel_dir"), raw(F.col("name")).alias("name"), "is_dir"), known.select(raw(F.col("rel_path")).alias("rel_path"), F.lit(b"0").alias("stamp")))
+        _stores[key] = store
+    return _stores[key]
+
+
+def store_catalog(spark, sf_dir):
+    return _store(spark, sf_dir).catalog().select(F.decode("path", "UTF-8").alias("path"), F.decode("name", "UTF-8").alias("name"))
+
+
+def store_search(spark, sf_dir):
+    """By the stored trigrams, whatever the size."""
+    options = SearchOptions(("station_00001 ext:csv",))
+    return _text(search_catalog(_store(spark, sf_dir).catalog(grams=name_grams(options), scan_below=0), options))
+
+
+def store_stats(spark, sf_dir):
+    return stats.from_snapshot(_store(spark, sf_dir)).where("recursive > 0").select("dir", "direct", "recursive")
+
+
+def store_total(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    counts = stats.from_snapshot(store)
+    return spark.range(1).select(F.lit(stats.total(store.catalog(), counts)).alias("everything"), F.lit(stats.total(store.catalog(), counts, b"/data/src1")).alias("below"))
 
 
 def exclusions_owner(spark, sf_dir):
@@ -139,7 +193,7 @@ def dir_union_distinct(spark, sf_dir):
 
 
 def total_scoped(spark, sf_dir):
-    return _counts(spark, sf_dir).where("dir = '/data/src1'").select(F.col("recursive").alias("total"))
+    return spark.range(1).select(F.lit(stats.total(catalog(spark, sf_dir), _counts(spark, sf_dir), b"/data/src1")).alias("total"))
 
 
 def trigram_table(spark, sf_dir):
@@ -151,6 +205,12 @@ def posting_counts(spark, sf_dir):
 
 
 def posting_search(spark, sf_dir):
+    options = SearchOptions(("era5 ext:csv path:src2",))
+    return _text(search_catalog(_store(spark, sf_dir).catalog(grams=name_grams(options), scan_below=0), options))
+
+
+def posting_entries(spark, sf_dir):
+    """The entry-level filter, over postings made on the spot."""
     c = catalog(spark, sf_dir)
     return _text(postings.search(c, postings.build(c), SearchOptions(("era5 ext:csv path:src2",))))
 
@@ -192,7 +252,7 @@ def subtree_replace(spark, sf_dir):
 def exclusion_prune(spark, sf_dir):
     from ..sources.walk import Rules
 
-    c = catalog(spark, sf_dir).select(raw(F.substring(parent(view("path")), 7, 1000)).alias("rel_dir"), "name", F.lit(False).alias("is_dir"))
+    c = catalog(spark, sf_dir).select(raw(F.substring(parent(view("path")), F.lit(7), F.length(view("path")))).alias("rel_dir"), "name", F.lit(False).alias("is_dir"))
     empty = c.select(F.col("rel_dir").alias("rel_path"), F.col("rel_dir").alias("stamp")).limit(0)
     kept, _ = refresh.prune(c, empty, "/data", Rules("/data", Filters(exclude_dirs=("de",), exclude_paths=("src4", "/data/src5/en"))))
     return kept.select(F.concat(F.lit("/data/"), view("rel_dir"), F.lit("/"), view("name")).alias("path"))
@@ -207,6 +267,9 @@ _R = f"{CATALOG}, {_SPREAD.format(src='c')}"
 _TREE = "(SELECT dir AS rel_path, count(*) || ':' || CASE WHEN max(entry_id) % 3 = 0 AND {late} THEN 'b' ELSE 'a' END AS stamp, max(entry_id) AS m FROM (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM c) GROUP BY dir HAVING max(entry_id) % {k} <> 1)"
 _GRAMS = f"{CATALOG}, g AS (SELECT DISTINCT entry_id, substring(lower(path), i, 3) AS gram FROM (SELECT entry_id, path, unnest(range(1, length(path) - 1)) AS i FROM c))"
 
+#: The files, their directories and the root.
+_ALL = f"{CATALOG}, e AS (SELECT path FROM c UNION ALL SELECT DISTINCT regexp_extract(path, '^(/[^/]*/[^/]*/[^/]*)/', 1) AS path FROM c UNION ALL SELECT DISTINCT regexp_extract(path, '^(/[^/]*/[^/]*)/', 1) FROM c UNION ALL SELECT '/data')"
+
 OTHERS = {
     "union_indexes": (union_indexes, f"{_TWO} SELECT path FROM u WHERE contains({LOW}, 'station')"),
     "or_dedup": (or_dedup, f"{_TWO} SELECT DISTINCT path FROM u WHERE contains({LOW}, 'soil') OR contains({LOW}, 'rain')"),
@@ -222,10 +285,17 @@ OTHERS = {
     "total_scoped": (total_scoped, f"{CATALOG} SELECT count(*) AS total FROM c WHERE starts_with(path, '/data/src1/')"),
     "trigrams": (trigram_table, f"{_GRAMS} SELECT entry_id, CAST(ascii(gram[1]) * 65536 + ascii(gram[2]) * 256 + ascii(gram[3]) AS INTEGER) AS gram FROM g"),
     "posting_counts": (posting_counts, f"{_GRAMS} SELECT gram, count(*) AS n FROM g GROUP BY gram"),
+    "json_rows": (json_rows, _where(f"contains({LOW}, 'rain')")),
+    "store_catalog": (store_catalog, f"{_ALL} SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name FROM e"),
+    "store_search": (store_search, _where(f"contains({LOW}, 'station_00001') AND ends_with({LOW}, '.csv')")),
+    "store_stats": (store_stats, f"{_ALL}, {_SPREAD.format(src='e')} SELECT dir, direct, recursive FROM r WHERE dir <> '/'"),
+    "store_total": (store_total, f"{_ALL} SELECT (SELECT count(*) FROM e) AS everything, (SELECT count(*) FROM e WHERE starts_with(path, '/data/src1/')) AS below"),
+    "posting_entries": (posting_entries, _where(f"contains({LOW}, 'era5') AND ends_with({LOW}, '.csv') AND contains(lower(path), 'src2')")),
     "posting_search": (posting_search, _where(f"contains({LOW}, 'era5') AND ends_with({LOW}, '.csv') AND contains(lower(path), 'src2')")),
     "path_parts": (path_parts, f"{CATALOG} SELECT entry_id, name, CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^.]*)$', 1) END AS suffix, CASE WHEN regexp_matches(name, '^.+\\.[^.]*$') THEN regexp_extract(name, '\\.([^.]*)$', 1) END AS extension, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CAST(len(string_split(path, '/')) - 2 AS INTEGER) AS depth, lower(name) AS folded FROM c"),
     "url_match": (url_match, "SELECT url AS path FROM (SELECT url, lower(regexp_extract(url, '([^/]*)$', 1)) AS n FROM pages) WHERE contains(lower(url), 'example.com') AND NOT contains(n, 'ref=') AND NOT ends_with(n, '.html')"),
     "part_quoted": (part_quoted, "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'small widget')"),
+    "regex_nested": (_search(r"^(soil|(ra+i)+n)+_(s?t?a?)+tion_(\d+)+\.", regex=True), _where(f"regexp_matches({LOW}, '^(soil|(ra+i)+n)+_(s?t?a?)+tion_(\\d+)+\\.')")),
     "snapshot_diff": (snapshot_diff, f"{CATALOG} SELECT coalesce(o.rel_path, n.rel_path) AS rel_path, CASE WHEN n.stamp IS NULL THEN 'gone' WHEN o.stamp IS NULL THEN 'new' WHEN o.stamp = n.stamp THEN 'same' ELSE 'changed' END AS state FROM {_TREE.format(late='false', k=5)} o FULL OUTER JOIN {_TREE.format(late='true', k=7)} n ON o.rel_path = n.rel_path"),
     "subtree_replace": (subtree_replace, _where("NOT (starts_with(path, '/data/src1/') AND ends_with(path, '.nc'))").replace("SELECT path FROM c", "SELECT DISTINCT path FROM c")),
     "exclusion_prune": (exclusion_prune, _where("NOT (contains(path, '/de/') OR starts_with(path, '/data/src4/') OR starts_with(path, '/data/src5/en/'))")),

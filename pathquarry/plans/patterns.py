@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +145,36 @@ def regex_pattern(pattern: bytes) -> str:
     return "(?d)" + "".join(out)
 
 
+#: A group that repeats or has alternatives, repeated itself: Java may try it in exponentially many ways.
+_NESTED = re.compile(r"\)(?:[*+]|\{\d+,?\d*\})")
+
+
+def linear_pattern(pattern: bytes) -> str:
+    """The same expression, which regex_pattern() has accepted, for RE2 over Latin-1."""
+    text = pattern.decode("latin-1")
+    flags = re.findall(r"\(\?([a-z]*)", text)
+    if any("x" in f for f in flags):
+        raise QueryError("repeated groups in an expression with the flag x are not supported")
+    out = re.sub(r"\\.|\[(?:\\.|\[:.*?:\]|[^\]\\])*\]|\$", lambda m: "\\z" if m[0] == "$" and not any("m" in f for f in flags) else m[0], text, flags=re.S)
+    return "".join(c if ord(c) < 128 else _byte(ord(c)) for c in out.replace("(?<", "(?P<"))
+
+
+def _linear(target: Column, pattern: bytes, ignore_case: bool) -> Column:
+    """RE2 by Arrow, in time linear in the text whatever the pattern."""
+    re2 = linear_pattern(pattern)
+    try:
+        pc.match_substring_regex(pa.array([b""]), re2, ignore_case=ignore_case)
+    except pa.ArrowInvalid as error:
+        raise QueryError(f"invalid pattern: {re2}") from error
+
+    def found(text: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(text, re2, ignore_case=ignore_case)
+
+    return F.arrow_udf(found, "boolean")(F.encode(target, "ISO-8859-1"))
+
+
 def regex(target: Column, pattern: bytes, ignore_case: bool = True) -> Column:
+    """Java's engine runs inside code generation, but backtracks; what could take it exponentially long goes to a linear one."""
     java = ("(?i)" if ignore_case else "") + regex_pattern(pattern)
     check(java)
-    return target.rlike(java)
+    return _linear(target, pattern, ignore_case) if _NESTED.search(pattern.decode("latin-1")) else target.rlike(java)

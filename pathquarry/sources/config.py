@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field, replace
@@ -101,11 +102,44 @@ def load(path: str) -> Config:
         return parse(file.read())
 
 
-def discover(explicit: str | None = None, environment: dict[str, str] | None = None) -> str | None:
-    """The configuration that applies: given, from the environment, of the user, of the system."""
+#: What reads a configuration: searching (with its statistics), and updating.
+ROLES = {"locate": "locate", "search": "locate", "updatedb": "updatedb", "index": "updatedb"}
+
+
+def _home(env) -> str:
+    return os.path.join(env.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "pathquarry")
+
+
+def saved(environment: dict[str, str] | None = None) -> dict[str, str]:
+    """The configuration saved for each role."""
+    try:
+        with open(os.path.join(_home(os.environ if environment is None else environment), "roles.json"), encoding="utf-8") as file:
+            return json.load(file)
+    except FileNotFoundError:
+        return {}
+
+
+def save(role: str, path: str, environment: dict[str, str] | None = None) -> str:
+    """Use the file for a role from now on; returns its absolute path."""
+    if role not in ROLES:
+        raise ConfigError(f"unknown role: {role}")
+    path = os.path.abspath(path)
+    load(path)  # it must be valid
+    env = os.environ if environment is None else environment
+    roles = saved(env) | {ROLES[role]: path}
+    os.makedirs(_home(env), exist_ok=True)
+    target = os.path.join(_home(env), "roles.json")
+    with open(f"{target}.new", "w", encoding="utf-8") as file:
+        json.dump(roles, file)
+    os.replace(f"{target}.new", target)
+    return path
+
+
+def discover(explicit: str | None = None, environment: dict[str, str] | None = None, role: str = "locate") -> str | None:
+    """The configuration that applies: given, from the environment, saved for the role, of the user, of the system."""
     env = os.environ if environment is None else environment
-    for path in (explicit, env.get("PATHQUARRY_CONFIG")):
+    for path in (explicit, env.get("PATHQUARRY_CONFIG"), saved(env).get(ROLES[role])):
         if path:
             return path
-    home = os.path.join(env.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "pathquarry", "config.toml")
+    home = os.path.join(_home(env), "config.toml")
     return next((p for p in (home, "/etc/pathquarry/config.toml") if os.path.exists(p)), None)

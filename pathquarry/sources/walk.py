@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import comparable, is_absolute
 from .config import Filters
 
+#: Entries of a batch that a listing gives.
+ROWS = 10_000
 LISTED = "rel_path binary, stamp binary, state string, name binary, is_dir boolean"
 
 
@@ -89,8 +92,10 @@ def listing(root: str, rules: Rules, known: bool = False):
 
     def run(batches):
         for b in batches:
-            columns = list(zip(*[r for rel in b.column("rel_path").to_pylist() for r in rows(rel)], strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.bool_()), strict=True)], ["rel_path", "stamp", "state", "name", "is_dir"])
+            found = (r for rel in b.column("rel_path").to_pylist() for r in rows(rel))
+            while part := list(islice(found, ROWS)):
+                columns = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.bool_()), strict=True)], ["rel_path", "stamp", "state", "name", "is_dir"])
 
     return run
 
