@@ -65,11 +65,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
-    def put(self, df: DataFrame, partitions: tuple[str, ...] = ()) -> DataFrame:
+    def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -85,5 +84,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def of_keys(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A shuffled table of keys in fewer partitions: their number is set for texts, and each becomes a file.
+
+    An eighth of them, and not more than one for each 100,000 rows where their number is known.
+    """
+    few = max(1, shuffle_partitions(df.sparkSession) // 8)
+    return df.coalesce(few if rows is None else max(1, min(few, -(-rows // 100_000))))
+
+
 def is_empty_text(col):
     return F.coalesce(col, F.lit(""))

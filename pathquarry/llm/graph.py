@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, of_keys
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     joins edges with the smallest neighbour of their node, so a hot node is a
     skewed join that Spark can split, never a group in one task.
     """
-    e = scratch.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    e = scratch.put(of_keys(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()))
     mark = _mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        after = scratch.put(small)
+        after = scratch.put(of_keys(small, 2 * mark[0]))
         scratch.drop(e)
         e, before, mark = after, mark, _mark(after)
         if mark == before:

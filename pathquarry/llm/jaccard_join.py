@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import mix, pack, spans, unpack
-from ._common import Scratch, frugal, shuffle_partitions, small_batches
+from ._common import Scratch, frugal, of_keys, shuffle_partitions, small_batches
 from .graph import components
 
 #: Least number of groups, and members of a set for each group at most.
@@ -212,7 +212,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 # -- stages ---------------------------------------------------------------------------------------------------------
 
-_SETS = "kind int, bucket int, doc_id long, n long, h long, payload binary"
+_SETS = "kind int, bucket int, doc_id long, n long, h long, vec binary, payload binary"
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -249,8 +249,8 @@ def _summed(keys, ns):
 
 def _read(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
     """kind 0: a row for each document with its set's hash and count vector; kind 1: packed prefix shingles by bin."""
-    names = ["kind", "bucket", "doc_id", "n", "h", "payload"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["kind", "bucket", "doc_id", "n", "h", "vec", "payload"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def batch(rows):
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -267,7 +267,7 @@ def _read(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
         rows = []
         for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
             used, local = np.unique(own[edge[k] : edge[k + 1]], return_inverse=True)
-            rows.append((1, k, None, 0, 0, pack(key[edge[k] : edge[k + 1]], local.astype(np.uint32), head_h[used], head_n[used])))
+            rows.append((1, k, None, 0, 0, None, pack(key[edge[k] : edge[k + 1]], local.astype(np.uint32), head_h[used], head_n[used])))
         for lo in range(0, len(rows), 256):
             yield batch(rows[lo : lo + 256])
 
@@ -279,7 +279,7 @@ def _read(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
             for lo, hi in chunks(texts):
                 for doc, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi]), strict=True):
                     h = set_hash(s) if len(s) else np.int64(0)
-                    rows.append((0, 0, doc, len(s), int(h), counts(s).tobytes()))
+                    rows.append((0, 0, doc, len(s), int(h), counts(s).tobytes(), None))
                     if len(s) and doc is not None and h not in seen:
                         seen.add(h)
                         keys.append(leading(s, frequent))
@@ -442,22 +442,23 @@ def _verified(docs: DataFrame, maybe: DataFrame, scratch: Scratch) -> DataFrame:
     many = F.greatest(F.ceil(F.col("total") / F.lit(SHINGLES // 2)), F.ceil(F.col("docs") / F.lit(POINTS)))
     sizes = sizes.select("root", F.when((F.col("total") <= SHINGLES) & (F.col("docs") <= 2 * POINTS), F.lit(1)).otherwise(many).cast("long").alias("chunks"), "docs")
     member = maybe.join(sizes.hint("merge"), "root").select("root", "h", F.col("rep").alias("doc_id"), "docs", "chunks", F.pmod(F.xxhash64("h"), F.col("chunks")).alias("chunk"))
-    member = scratch.put(member)
-    texts = scratch.put(_compressed(docs, member))
+    member = scratch.put(of_keys(member))
+    large = member.where("chunks > 1")
+    alone = large.isEmpty()
+    texts = _compressed(docs, member)
+    texts = texts if alone else scratch.put(texts)
 
     def links(met: DataFrame) -> DataFrame:
-        met = scratch.put(met.select("h", "doc_id", "gid"))
-        with_text = met.hint("merge").join(texts, "doc_id")
-        return scratch.put(with_text.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(frugal(_links), "u long, v long"))
+        with_text = met.select("h", "doc_id", "gid").hint("merge").join(texts, "doc_id")
+        return with_text.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(frugal(_links), "u long, v long")
 
-    large = member.where("chunks > 1")
+    if alone:
+        return components(links(member.select("h", "doc_id", F.xxhash64("root", "chunk").alias("gid"))), scratch)
     some = F.pmod(F.xxhash64("h", F.lit(1)), F.ceil(F.col("docs") / F.lit(4 * PIVOTS))) == 0  # so many that PIVOTS are among them, at any size
     least = large.where(some).groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "doc_id"))), 1, PIVOTS).alias("pivots"), F.max("chunks").alias("chunks"))
     pivots = least.select("root", "chunks", F.explode("pivots").alias("p")).select("root", "p.h", "p.doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     met = member.select("root", "h", "doc_id", "chunk").unionByName(pivots.select("root", "h", "doc_id", "chunk")).withColumn("gid", F.xxhash64("root", "chunk"))
-    found = links(met)
-    if large.isEmpty():
-        return components(found, scratch)
+    found = scratch.put(of_keys(links(met).distinct()))
     label = components(found, scratch).withColumnRenamed("node", "h").withColumnRenamed("root", "label")
     large = scratch.put(large.join(label.hint("merge"), "h", "left").withColumn("label", F.coalesce("label", "h")))
     classes = large.groupBy("root", "label").agg(F.count("*").alias("n"))
@@ -477,8 +478,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark)
     bins = max(parts, min(BINS * parts, MOST_BINS))
-    read = scratch.put(_read(docs, bins, frequent_shingles(docs.where("doc_id is not null"))), ("kind",))
-    rows = read.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h", F.col("payload").alias("vec"))
+    read = scratch.put(_read(docs, bins, frequent_shingles(docs.where("doc_id is not null"))))
+    rows = read.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h", "vec")
     known = rows.where("n_shingles > 0 and doc_id is not null")
     # A point for each set; a set's vector is the same in each of its rows.
     points = known.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
@@ -489,7 +490,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = groups.join(vectors.hint("merge"), "h").repartition(parts, "gid").sortWithinPartitions("gid", "n", "h")
     maybe = components(met.mapInArrow(frugal(_edges), "u long, v long"), scratch)
     # Candidate components: their documents meet again.
-    maybe = scratch.put(maybe.withColumnRenamed("node", "h").join(points.hint("merge"), "h"))
+    maybe = scratch.put(of_keys(maybe.withColumnRenamed("node", "h").join(points.hint("merge"), "h")))
     labels = _verified(docs, maybe, scratch)
     labelled = rows.select("doc_id", "n_shingles", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     lowest = labelled.where("n_shingles > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -510,11 +511,11 @@ def keep_one(docs: DataFrame, unnamed: bool = False) -> DataFrame:
     key = F.xxhash64("doc_id", F.xxhash64(text))
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", text.alias("text"), (key if unnamed else F.when(F.col("doc_id").isNotNull(), key)).alias("key"))
     linked = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).where("doc_id <> component_id")
-    linked = scratch.put(linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct())
+    linked = scratch.put(of_keys(linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct()))
     linked = linked.unionByName(linked.select(F.col("root").alias("key"), "root").distinct())
     # Keys are hashes, so the document that stays is found by what they stand for.
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    met = scratch.put(keyed.select("key", order.alias("at")).join(linked.hint("merge"), "key"))
+    met = scratch.put(of_keys(keyed.select("key", order.alias("at")).join(linked.hint("merge"), "key")))
     least = met.groupBy("root").agg(F.min("at").alias("least"))
     gone = met.join(least.hint("merge"), "root").where("at <> least").select("key").distinct()
     kept = keyed.join(gone.hint("merge"), "key", "left_anti")

@@ -84,34 +84,37 @@ def features(docs: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def binomial_tail(n, k, p: float):
+def binomial_tail(n, k, p):
     """P(Bin(n, p) <= k) as an expression; above the mean it is not needed and given as 1."""
-    import math
-
-    odds = math.log(p / (1 - p))
-    first = F.struct((n * math.log1p(-p)).alias("log"), F.lit(0.0).alias("sum"))
+    first = F.struct((n * F.log1p(-p)).alias("log"), F.lit(0.0).alias("sum"))
+    odds = F.log(p / (1 - p))
     step = lambda acc, j: F.struct((acc["log"] + F.log((n - j).cast("double")) - F.log((j + 1).cast("double")) + odds).alias("log"), (acc["sum"] + F.exp(acc["log"])).alias("sum"))
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), k), first, step, lambda acc: acc["sum"]))
 
 
 def certify(feats: DataFrame, labels: DataFrame, risk: dict[str, float] = RISK, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum: stratum, and a certified cutoff for each rule (null: none)."""
+    """One row for each stratum: stratum, and a certified cutoff for each rule (null: none).
+
+    A document reaches so many of a rule's cutoffs; its rule is counted at each.
+    All after that is a row for each stratum, rule and cutoff.
+    """
     stratum = F.coalesce("lang", F.lit("")).alias("stratum")
     named = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     good = feats.where(~F.col("base_failed")).join(named, "doc_id").groupBy("doc_id").agg(F.min(F.struct(stratum, *RULES)).alias("one")).select("one.*")
-    sums = {f"{r}__{k}": F.sum((F.col(r) >= c).cast("long")).alias(f"{r}__{k}") for r, cuts in RULES.items() for k, c in enumerate(cuts)}
-    counted = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums.values())
-    m = counted.agg(F.count("*").alias("strata"))  # one row
-    tested = counted.crossJoin(F.broadcast(m))
-    level = F.lit(delta) / (F.col("strata") * len(RULES))
-
-    def cutoff(rule: str):
-        passed = F.array(*[binomial_tail(F.col("n"), F.col(f"{rule}__{k}"), risk[rule]) <= level for k in range(len(RULES[rule]))])
-        stop = F.array_position(passed, False)  # 1-based; 0: none failed
-        last = F.when(stop == 0, F.lit(len(RULES[rule]))).otherwise(stop - 1).cast("int")
-        return F.when(last > 0, F.element_at(F.array(*map(F.lit, RULES[rule])), F.greatest(last, F.lit(1))))
-
-    return tested.select("stratum", *[cutoff(r).alias(f"cut_{r}") for r in RULES])
+    per_rule = lambda values: F.create_map(*[F.lit(x) for r in RULES for x in (r, values(r))])
+    cuts = F.create_map(*[x for r, c in RULES.items() for x in (F.lit(r), F.array(*map(F.lit, c)))])
+    each = good.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("f")).select("stratum", "f.*")
+    reached = F.size(F.filter(cuts[F.col("rule")], lambda c: c <= F.col("x")))
+    counted = each.groupBy("stratum", "rule", reached.alias("reached")).agg(F.count("*").alias("n"))
+    counted = counted.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("reached", "n")).alias("found"))  # as many as there are cutoffs
+    tested = counted.crossJoin(F.broadcast(counted.agg(F.count("*").alias("sequences"))))  # one row
+    tested = tested.withColumn("k", F.explode(F.sequence(F.lit(1), per_rule(lambda r: len(RULES[r]))[F.col("rule")])))
+    hits = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["reached"] >= F.col("k"), x["n"]).otherwise(F.lit(0)))
+    tested = tested.select("stratum", "rule", "k", "n", "sequences", hits.alias("hits"), per_rule(lambda r: risk[r])[F.col("rule")].alias("risk"))
+    failed = binomial_tail(F.col("n"), F.col("hits"), F.col("risk")) > F.lit(delta) / F.col("sequences")
+    last = tested.groupBy("stratum", "rule").agg((F.coalesce(F.min(F.when(failed, F.col("k"))), F.max("k") + 1) - 1).alias("last"))
+    cut = F.when(F.col("last") > 0, F.element_at(cuts[F.col("rule")], F.greatest(F.col("last"), F.lit(1))))
+    return last.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, cut)).alias(f"cut_{r}") for r in RULES])
 
 
 def _rejected():

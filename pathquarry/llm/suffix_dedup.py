@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import mix, pack, spans, unpack
-from ._common import Scratch, frugal, shuffle_partitions, small_batches
+from ._common import Scratch, frugal, of_keys, shuffle_partitions, small_batches
 
 LENGTH, GRAM = 100, 16
 REACH = LENGTH - GRAM + 1
@@ -451,7 +451,7 @@ def _split(width: int):
 def _classes(pieces: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Later places, first places of the names that can be indexed, and of those to split further."""
     first = pieces.groupBy("name", "text").agg(F.min(F.struct("d", "t", "start")).alias("first"))
-    first = scratch.put(first)
+    first = scratch.put(of_keys(first))
     later = pieces.drop("bytes").join(first, ["name", "text"]).where(F.struct("d", "t", "start") != F.col("first")).select("d", "t", "start", "length")
     many = first.groupBy("name").agg(F.count("*").alias("classes")).where("classes > 1")
     heads = pieces.join(first, ["name", "text"]).where(F.struct("d", "t", "start") == F.col("first")).drop("first").join(many, "name")
@@ -466,9 +466,9 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _keyed(docs)
     bins = max(parts, min(BINS * parts, MOST_BINS))
     places = _packed(docs, bins).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_places), _PLACES)
-    places = scratch.put(places, ("kind",))
+    places = scratch.put(places)
     found = places.where(f"kind = {REPEAT}").select("d", "t", "start", "length")
-    slices = scratch.put(_sliced(places.where(f"kind > {REPEAT}"), texts, parts), ("kind",))
+    slices = scratch.put(_sliced(places.where(f"kind > {REPEAT}"), texts, parts))
 
     def search(heads: DataFrame) -> DataFrame:
         return heads.select("name", "d", "t", "start", "length", "bytes").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(frugal(_indexed), "d long, t long, start long, length int")

@@ -226,7 +226,7 @@ def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame([(n, k) for n in (1, 50, 3000) for k in (0, 1, 5) if k <= n * 0.01 + 1], "n long, k long")
-    for r in rows.select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p")).collect():
+    for r in rows.select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), F.lit(0.01)).alias("p")).collect():
         true = sum(comb(r.n, j) * 0.01**j * 0.99 ** (r.n - j) for j in range(r.k + 1))
         assert r.p == 1.0 if r.k > r.n * 0.01 else abs(r.p - true) < 1e-9 * max(1, true)
 
