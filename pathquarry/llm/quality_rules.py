@@ -95,8 +95,8 @@ def binomial_tail(n, k, p):
 def certify(feats: DataFrame, labels: DataFrame, risk: dict[str, float] = RISK, delta: float = DELTA) -> DataFrame:
     """One row for each stratum: stratum, and a certified cutoff for each rule (null: none).
 
-    A document reaches so many of a rule's cutoffs; its rule is counted at each.
-    All after that is a row for each stratum, rule and cutoff.
+    Documents are counted by how many of a rule's cutoffs they reach; all after
+    that is a row for each stratum, rule and cutoff.
     """
     stratum = F.coalesce("lang", F.lit("")).alias("stratum")
     named = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
@@ -108,8 +108,10 @@ def certify(feats: DataFrame, labels: DataFrame, risk: dict[str, float] = RISK,
     counted = each.groupBy("stratum", "rule", reached.alias("reached")).agg(F.count("*").alias("n"))
     counted = counted.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("reached", "n")).alias("found"))  # as many as there are cutoffs
     tested = counted.crossJoin(F.broadcast(counted.agg(F.count("*").alias("sequences"))))  # one row
-    tested = tested.withColumn("k", F.explode(F.sequence(F.lit(1), per_rule(lambda r: len(RULES[r]))[F.col("rule")])))
-    hits = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["reached"] >= F.col("k"), x["n"]).otherwise(F.lit(0)))
+    many = per_rule(lambda r: len(RULES[r]))[F.col("rule")]
+    tested = tested.withColumn("k", F.explode(F.sequence(F.lit(1), many)))
+    # Who reaches the k-th cutoff, counted from the mildest, reaches all the stricter ones too.
+    hits = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["reached"] > many - F.col("k"), x["n"]).otherwise(F.lit(0)))
     tested = tested.select("stratum", "rule", "k", "n", "sequences", hits.alias("hits"), per_rule(lambda r: risk[r])[F.col("rule")].alias("risk"))
     failed = binomial_tail(F.col("n"), F.col("hits"), F.col("risk")) > F.lit(delta) / F.col("sequences")
     last = tested.groupBy("stratum", "rule").agg((F.coalesce(F.min(F.when(failed, F.col("k"))), F.max("k") + 1) - 1).alias("last"))

@@ -254,6 +254,32 @@ def test_small_strata_and_repeated_labels(spark):
     assert {r.doc_id for r in quality_rules.judge(df, mixed).collect() if r.kept} == set(range(320)) | set(range(900, 905))
 
 
+def test_cutoffs_by_their_definition(spark):
+    from math import exp, lgamma, log
+
+    def tail(n, k, p):
+        return sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log(1 - p)) for j in range(k + 1))
+
+    rng = np.random.default_rng(12)
+    rows = [(i, "en" if i % 3 else "fr", False, *(float(rng.random() ** 6 * c[0] * 1.1) for c in quality_rules.RULES.values())) for i in range(2500)]
+    feats = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+    risk = dict(zip(quality_rules.RULES, (0.3, 0.2, 0.1, 0.4, 0.02), strict=True))
+    found = {r.stratum: r for r in quality_rules.certify(feats, spark.createDataFrame([(i, 1) for i in range(2500)], "doc_id long, quality int"), risk).collect()}
+    certified = 0
+    for lang in ("en", "fr"):
+        own = [r for r in rows if r[1] == lang]
+        for at, (rule, cuts) in enumerate(quality_rules.RULES.items()):
+            best = None
+            for c in cuts:
+                hits = sum(r[3 + at] >= c for r in own)
+                if hits > len(own) * risk[rule] or tail(len(own), hits, risk[rule]) > 0.05 / 10:
+                    break
+                best = c
+            assert found[lang][f"cut_{rule}"] == best, (lang, rule)
+            certified += best is not None
+    assert certified >= 5
+
+
 def test_rules_keep_columns_that_clash(spark):
     text = " ".join(f"w{j}" for j in range(30))
     schema = "doc_id long, text string, lang string, row string, words int, n_words string, stratum int, kept boolean, cut_dup_line_share int"
