@@ -17,7 +17,9 @@ import json
 import ahocorasick
 
 #: Bytes of a memo, and pairs of tokens in another, before they are dropped; both bound a worker's memory.
-MEMO, PAIRS = 64_000_000, 400_000
+MEMO, PAIRS = 128_000_000, 400_000
+#: Later than any merge.
+NEVER = 1 << 60
 #: Bytes of an entry beside its key and value.
 ENTRY = 180
 
@@ -25,7 +27,7 @@ ENTRY = 180
 class PairBpe:
     """tokens: id -> symbol string (None for ids that are no tokens); ids are merge ranks."""
 
-    def __init__(self, tokens: list[str | None], merges: dict[tuple[int, int], int] | None = None):
+    def __init__(self, tokens: list[str | None]):
         self.length = [len(t) if t else 0 for t in tokens]
         ids = {t: i for i, t in enumerate(tokens) if t}
         self.automaton = ahocorasick.Automaton()
@@ -42,50 +44,46 @@ class PairBpe:
         self.fits: dict[int, bool] = {}  # by both ids in one number
         self.merged: dict[tuple[int, int], int] = {}
         self.parts = [(i, i) for i in range(len(tokens))]
-        if merges is not None:
-            for pair, i in merges.items():
-                self.merged[pair] = i
-                self.parts[i] = pair
-        else:
-            for i, t in enumerate(tokens):
-                if t is None or len(t) < 2:
-                    continue
-                left = self.shorter[i]
-                while left >= 0:
-                    right = ids.get(t[self.length[left]:])
-                    if right is not None and left < i and right < i and self._beside(left, right):
-                        self.merged[left, right] = i
-                        self.parts[i] = (left, right)
-                        break
-                    left = self.shorter[left]
+        for i, t in enumerate(tokens):  # a token is merged from the two parts that stand beside each other before it
+            if t is None or len(t) < 2:
+                continue
+            left = self.shorter[i]
+            while left >= 0:
+                right = ids.get(t[self.length[left] :])
+                if right is not None and left < i and right < i and self._beside(left, right):
+                    self.merged[left, right] = i
+                    self.parts[i] = (left, right)
+                    break
+                left = self.shorter[left]
         self.fits.clear()
 
+    def _spine(self, token: int, side: int) -> list[int]:
+        """The token, its last (side 1) or first (side 0) part, that one's, and so on down to a symbol."""
+        out = [token]
+        while (part := self.parts[out[-1]][side]) != out[-1]:
+            out.append(part)
+        return out
+
     def _beside(self, a: int, b: int) -> bool:
-        """Whether a then b survives merging: no merge across their border comes before those inside them."""
-        merged, parts = self.merged, self.parts
-        bound = 1 << 60
+        """Whether a then b survives merging.
+
+        Merging builds the right spine of a and the left spine of b from their
+        symbols up, lowest rank first and the leftmost of equal ones; it must not
+        come to a merge of what stands at the border on either side.
+        """
+        left, right = self._spine(a, 1), self._spine(b, 0)
+        x, y = left.pop(), right.pop()
         while True:
-            across = merged.get((a, b))
-            if across is not None and across < bound:
+            across = self.merged.get((x, y), NEVER)
+            in_a, in_b = left[-1] if left else NEVER, right[-1] if right else NEVER
+            if across < in_a and across <= in_b:
                 return False
-            if a > b:
-                bound = a
-                a = parts[a][1]
-                if a != bound:
-                    continue
-                bound = b + 1
-                b = parts[b][0]
-                if b + 1 == bound:
-                    return True
+            if in_a == in_b == NEVER:
+                return True
+            if in_a <= in_b:
+                x = left.pop()
             else:
-                bound = b + 1
-                b = parts[b][0]
-                if b + 1 != bound:
-                    continue
-                bound = a
-                a = parts[a][1]
-                if a == bound:
-                    return True
+                y = right.pop()
 
     def compatible(self, a: int, b: int) -> bool:
         pair = a << 32 | b
@@ -112,27 +110,22 @@ class PairBpe:
         longest = [-1] * (n + 1)
         for end, i in self.automaton.iter(piece):
             longest[end - self.length[i] + 1] = i
-        open_at = bytearray(b"\x01") * (n + 1)
+        dead = set()  # places from which nothing reaches the end
         token = longest[at]
-        while token >= 0:
-            last = out[-1] if out else -1
-            while True:
-                end = at + self.length[token]
-                if open_at[end] and (last < 0 or self.compatible(last, token)):
-                    out.append(token)
-                    at = end
-                    token = longest[at]
-                    break
-                if self.shorter[token] >= 0:
-                    token = self.shorter[token]
-                    continue
-                open_at[at] = 0
-                if last < 0:
-                    raise ValueError("no encoding: a symbol is missing in the vocabulary")
-                out.pop()
-                at -= self.length[last]
-                token = last
-                break
+        while at < n:
+            while token >= 0 and (at + self.length[token] in dead or out and not self.compatible(out[-1], token)):
+                token = self.shorter[token]
+            if token >= 0:
+                out.append(token)
+                at += self.length[token]
+                token = longest[at]
+            elif out:
+                dead.add(at)
+                token = out.pop()
+                at -= self.length[token]
+                token = self.shorter[token]
+            else:
+                raise ValueError("no encoding: a symbol is missing in the vocabulary")
         return out
 
 
