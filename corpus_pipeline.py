@@ -1,7 +1,9 @@
 """Corpus preparation: filter, drop near copies, cut repeats, remove secrets, pack.
 
 Each stage takes the documents that the stage before it wrote, and all but the
-last return the columns of `documents`.
+last return the columns of `documents`, and any others the table has, whatever
+their names.  Null text counts as empty, texts are taken whole however long,
+and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,27 +15,35 @@ from pathquarry.llm._common import Scratch, table
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; each row is judged by its own text, so null and empty texts go and rows without doc_id may stay."""
     return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; those without doc_id come last."""
+    """Of each group of linked documents the one with the smallest doc_id stays (of equal ones, by a hash of the text); those without doc_id come last.
+
+    A document is a doc_id with a text: rows that repeat both stay together.
+    Texts without words link with nothing and stay.
+    """
     return jaccard_join.keep_one(docs, unnamed=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that start earlier in the corpus are cut out."""
+    """Passages of 100 bytes or more that start earlier in the corpus are cut out, with the characters they cut through.
+
+    The corpus is ordered by doc_id, then by a hash of the text; rows without
+    doc_id come last.  No row goes, though its text may become empty.
+    """
     return suffix_dedup.cut_documents(docs)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text."""
+    """Secrets are masked in the text; no row goes, and null text stays null."""
     return secret_scan.redact_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 2048."""
+    """Token pieces with their place in sequences of 2048; an empty text is a piece that holds the separator."""
     return packing.pack(docs)
 
 

@@ -63,7 +63,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.held = 0, set()
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -71,13 +71,23 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.held.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._scratch_path)
+
+    def keep_only(self, df: DataFrame) -> DataFrame:
+        """Delete all tables but this one, from which everything that follows is read."""
+        for path in self.held - {df._scratch_path}:
+            self._delete(path)
+        return df
+
+    def _delete(self, path: str) -> None:
+        self.held.discard(path)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

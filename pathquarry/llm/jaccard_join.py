@@ -471,12 +471,12 @@ def _verified(docs: DataFrame, maybe: DataFrame, scratch: Scratch) -> DataFrame:
     return components(found.unionByName(links(met)), scratch)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; scratch: where its tables go, if the caller removes them."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = shuffle_partitions(spark)
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     bins = max(parts, min(BINS * parts, MOST_BINS))
     read = scratch.put(_read(docs, bins, frequent_shingles(docs.where("doc_id is not null"))))
     rows = read.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h", "vec")
@@ -510,8 +510,8 @@ def keep_one(docs: DataFrame, unnamed: bool = False) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64("doc_id", F.xxhash64(text))
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", text.alias("text"), (key if unnamed else F.when(F.col("doc_id").isNotNull(), key)).alias("key"))
-    linked = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).where("doc_id <> component_id")
-    linked = scratch.put(of_keys(linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct()))
+    linked = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), scratch).where("doc_id <> component_id")
+    linked = scratch.keep_only(scratch.put(of_keys(linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct())))
     linked = linked.unionByName(linked.select(F.col("root").alias("key"), "root").distinct())
     # Keys are hashes, so the document that stays is found by what they stand for.
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")

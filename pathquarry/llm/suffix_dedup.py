@@ -458,11 +458,11 @@ def _classes(pieces: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     return later, heads.where(F.col("classes") <= HOT).drop("classes"), heads.where(F.col("classes") > HOT).drop("classes")
 
 
-def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(d, t, start, length) of repeated bytes, ranges may overlap; and the keyed, compressed documents."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts, scratch = shuffle_partitions(spark), Scratch(spark)
+    parts = shuffle_partitions(spark)
     texts = _keyed(docs)
     bins = max(parts, min(BINS * parts, MOST_BINS))
     places = _packed(docs, bins).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_places), _PLACES)
@@ -502,8 +502,8 @@ def _kept(data: bytes, starts: list[int], lengths: list[int], whole: bool = Fals
     return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), len(runs(gone)[0])
 
 
-def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    found, texts = repeated_ranges(docs)
+def _applied(docs: DataFrame, with_bytes: bool, scratch: Scratch) -> DataFrame:
+    found, texts = repeated_ranges(docs, scratch)
     parts = shuffle_partitions(docs.sparkSession)
     both = found.select("d", "t", F.lit(0).alias("turn"), "start", "length", F.lit(None).cast("boolean").alias("named"), F.lit(None).cast("binary").alias("z"))
     both = both.unionByName(texts.select("d", "t", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("length"), "named", "z"))
@@ -532,7 +532,7 @@ def _applied(docs: DataFrame, with_bytes: bool) -> DataFrame:
 
 def digest_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    return _applied(docs, False).drop("key", "kept")
+    return _applied(docs, False, Scratch(docs.sparkSession)).drop("key", "kept")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -540,8 +540,9 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
     Characters of which a part went go whole.
     """
-    changed = _applied(docs, True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("key").alias("t"), "kept")
-    changed = Scratch(docs.sparkSession).put(changed).dropDuplicates(["d", "t"])
+    scratch = Scratch(docs.sparkSession)
+    changed = _applied(docs, True, scratch).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("key").alias("t"), "kept")
+    changed = scratch.keep_only(scratch.put(changed)).dropDuplicates(["d", "t"])
     row = docs.select(*_key(), F.struct("*").alias("row"))  # whatever the other columns are called
     joined = row.join(changed.hint("merge"), ["d", "t"], "left")
     text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.col("kept").cast("string"))
