@@ -153,7 +153,7 @@ def store_stats(spark, sf_dir):
 def store_total(spark, sf_dir):
     store = _store(spark, sf_dir)
     counts = stats.from_snapshot(store)
-    return spark.range(1).select(F.lit(stats.total(store.catalog(), counts)).alias("everything"), F.lit(stats.total(store.catalog(), counts, b"/data/src1")).alias("below"))
+    return spark.range(1).select(F.lit(stats.total(store.catalog(), counts)).alias("all_paths"), F.lit(stats.total(store.catalog(), counts, b"/data/src1")).alias("below"))
 
 
 def exclusions_owner(spark, sf_dir):
@@ -289,7 +289,7 @@ OTHERS = {
     "store_catalog": (store_catalog, f"{_ALL} SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name FROM e"),
     "store_search": (store_search, _where(f"contains({LOW}, 'station_00001') AND ends_with({LOW}, '.csv')")),
     "store_stats": (store_stats, f"{_ALL}, {_SPREAD.format(src='e')} SELECT dir, direct, recursive FROM r WHERE dir <> '/'"),
-    "store_total": (store_total, f"{_ALL} SELECT (SELECT count(*) FROM e) AS everything, (SELECT count(*) FROM e WHERE starts_with(path, '/data/src1/')) AS below"),
+    "store_total": (store_total, f"{_ALL} SELECT (SELECT count(*) FROM e) AS all_paths, (SELECT count(*) FROM e WHERE starts_with(path, '/data/src1/')) AS below"),
     "posting_entries": (posting_entries, _where(f"contains({LOW}, 'era5') AND ends_with({LOW}, '.csv') AND contains(lower(path), 'src2')")),
     "posting_search": (posting_search, _where(f"contains({LOW}, 'era5') AND ends_with({LOW}, '.csv') AND contains(lower(path), 'src2')")),
     "path_parts": (path_parts, f"{CATALOG} SELECT entry_id, name, CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^.]*)$', 1) END AS suffix, CASE WHEN regexp_matches(name, '^.+\\.[^.]*$') THEN regexp_extract(name, '\\.([^.]*)$', 1) END AS extension, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CAST(len(string_split(path, '/')) - 2 AS INTEGER) AS depth, lower(name) AS folded FROM c"),

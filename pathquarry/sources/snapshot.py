@@ -206,7 +206,8 @@ class _Lock:
 
     On a local file system the operating system holds the lock and releases it
     when its process ends, however it ends.  Elsewhere it is a file that only one
-    can create, naming its owner; a crash leaves it behind.
+    can create, naming its owner; a crash leaves it behind, and a store without
+    exclusive creation needs one writer by arrangement.
     """
 
     def __init__(self, store: Store):
