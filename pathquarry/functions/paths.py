@@ -135,23 +135,38 @@ def comparable(path: bytes) -> bytes:
     return path
 
 
-def comparable_column(path: Column) -> Column:
-    share = path.rlike(r"(?s)\A(?:[A-Za-z]:(?:[/\\]|\z)|//|\\\\)")
-    plain = F.when(share, F.translate(path, "\\", "/")).otherwise(path)
-    plain = F.when(share & plain.rlike(r"(?i)\A//\?/unc/"), F.concat(F.lit("//"), F.substring(plain, F.lit(9), F.length(plain)))).when(share & plain.startswith("//?/"), F.substring(plain, F.lit(5), F.length(plain))).otherwise(plain)
-    plain = F.when(plain.rlike(r"\A[A-Z]:"), F.concat(fold(F.substring(plain, 1, 1)), F.substring(plain, F.lit(2), F.length(plain)))).otherwise(plain)
-    cut = F.regexp_replace(plain, r"/+\z", "")
-    return F.when(cut == "", F.substring(plain, 1, 1)).when(cut.rlike(r"(?s)\A.:\z") & (plain != cut), F.concat(cut, F.lit("/"))).otherwise(cut)
+_SHARE, _DEVICE = r"(?:[A-Za-z]:(?:[/\\]|\z)|//|\\\\)", r"(?://|\\\\)\?[/\\]"
+
+
+def _starts(key: str, slash: str) -> str:
+    """What text has that equals the key or lies below it."""
+    stem = key.removesuffix("/")
+    body = "".join(slash if c == "/" else re.escape(c) for c in stem)
+    if re.match("[a-z]:", stem):
+        body = f"[{stem[0].upper()}{stem[0]}]{body[1:]}"
+    return body + (slash if key.endswith("/") else rf"(?:{slash}|\z)")
+
+
+def _pattern_under(key: str) -> str:
+    """For paths as they are, what their comparable form has to the key.  Slashes at the end decide nothing: `key/` is below the key."""
+    found = [rf"(?!{_SHARE}){_starts(key, '/')}"]
+    if "\\" not in key:  # drive and share paths have none in that form
+        either = r"[/\\]"
+        found += [rf"(?={_SHARE})(?!{_DEVICE}){_starts(key, either)}", rf"{_DEVICE}(?!(?i:unc){either}){_starts(key, either)}"]
+        if key == "/" or key.startswith("//"):
+            found.append(rf"{_DEVICE}(?i:unc){either}{_starts(key, either).removeprefix(either * 2) if key != '/' else ''}")
+    return rf"\A(?:{'|'.join(found)})"
 
 
 def under(path: Column, prefix: str | bytes, plain: bool = False) -> Column:
-    """Whether a path is the prefix or lies below it, by whole components.  plain: paths are known to be in comparable form."""
+    """Whether a path is the prefix or lies below it, by whole components.  plain: paths are known to be in comparable form.
+
+    One pattern, since a column for the comparable form would repeat the path some hundred times in the plan.
+    """
     key = comparable(os.fsencode(prefix) if isinstance(prefix, str) else prefix).decode("latin-1")
     if not key:
         return F.lit(False)
-    own = path if plain else comparable_column(path)
-    stem = key.removesuffix("/")
-    return (own == key) | own.startswith(f"{stem}/")
+    return (path == key) | path.startswith(f"{key.removesuffix('/')}/") if plain else path.rlike(_pattern_under(key))
 
 
 def resolve(path: str | bytes, base: str | bytes | None = None) -> bytes:

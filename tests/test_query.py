@@ -152,6 +152,30 @@ def test_portable_prefixes(spark):
     assert resolve(b"/a/./b/../c/") == b"/a/c" and resolve(b"x", b"/r") == b"/r/x"
 
 
+def test_owners_repeat_the_path_few_times(spark):
+    owners = tuple(IndexConfig(f"i{k}", f"/data/src{k}", f"/x/{k}", Filters(exclude_extensions=("nc",), exclude_paths=("fr", "en/old"), exclude_files=("a.csv",))) for k in range(10))
+    df = of_bytes(spark, [b"/data/src1/fr/a", b"/data/src1/en/a.nc", b"/data/src11/fr/a", b"/data/src9/de/b", b"/data/src9/A.csv"])
+    kept = filters.visible(df, owners)
+    uses = kept._jdf.queryExecution().analyzed().expressions().toString().count("decode(")
+    assert 0 < uses <= 10 * 15
+    assert sorted(bytes(r.path) for r in kept.collect()) == [b"/data/src11/fr/a", b"/data/src9/de/b"]
+
+
+def test_prefixes_by_definition(spark):
+    rng = random.Random(5)
+    parts = [b"/", b"/", b"\\", b"//", b"\\\\", b"//?/", b"\\\\?\\", b"UNC", b"unc/", b"C:", b"c:", b"Z:/", b"1:", b"?", b".", b"a", b"A", b"a/b", b"\n", b"\xff", b"*[^$", b"\\E", b"]"]
+    made = {b"".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(3000)}
+    prefixes = sorted(made)[::12] + [b"/", b"//", b"c:", b"C:/", b"//c:", b"/:/", b"//?/UNC/a/b"]
+    paths = sorted(made | {p + end for p in prefixes for end in (b"", b"/", b"\\", b"/x", b"x", b"//")} | {b"\\\\?\\" + p for p in prefixes} | {b"//?/UNC/" + p[2:] for p in prefixes})
+    df = of_bytes(spark, paths).select("path").repartition(4)
+    below = lambda path, key: bool(key) and (path == key or path.startswith(key.removesuffix(b"/") + b"/"))
+    for k in range(0, len(prefixes), 50):
+        some = prefixes[k : k + 50]
+        rows = df.select("path", F.array(*[under(view("path"), p) for p in some])).collect()
+        wrong = [(bytes(path), p) for path, flags in rows for p, flag in zip(some, flags, strict=True) if flag is not below(comparable(bytes(path)), comparable(p))]
+        assert len(rows) == len(paths) and not wrong, wrong[:5]
+
+
 def test_postings(spark, tree):
     table = postings.build(tree)
     for q in ("soil", "soil rain", "path:folder ext:nc", "so", "soil | rain", "中文", "ext:nc soil_r*"):
